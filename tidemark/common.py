@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Dates that stand for "unknown" in the feeds (fixed values).
 PLACEHOLDER_DATES = ("1900-01-01", "9999-12-31")
 
-SPACES = " \t\r\n\x0b\x0c "
+SPACES = " \t\r\n\x0b\x0c\xa0"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

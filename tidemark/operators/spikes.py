@@ -130,8 +130,12 @@ def flag_readings(
         beyond = ((F.col("_low") > level * p) & (F.col("_low") > level * n)) | (
             (F.col("_high") * level < p) & (F.col("_high") * level < n)
         )
-        shift = F.log(n / F.coalesce(p, F.col("_b")))
-        stays = F.abs(shift - F.col("_m")) <= F.abs(F.col("_m")) / 2
+        # The readings stay if neither neighbour speaks for a return: each gap
+        # to a neighbour undoes less than half of the move.
+        undone = -F.abs(F.col("_m")) / 2
+        arrived = F.log(F.col("_b") / F.coalesce(p, F.col("_b"))) * F.signum("_m")
+        left = F.log(n / F.col("_a")) * F.signum("_m")
+        stays = (arrived > undone) & (left > undone)
         return F.coalesce(beyond, F.lit(False)) | (F.col("_far") & ~F.coalesce(stays, F.lit(False)))
 
     def neighbours(sound: str, prior: str, following: str) -> list[str]:
