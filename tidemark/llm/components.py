@@ -82,16 +82,17 @@ def components(
     two blocks. In each round every cell runs a local union-find over its
     pairs, which leaves each vertex with the representatives that the cells
     of its row and column found for it. They are exchanged: the smallest
-    becomes the parent, and every other one is linked to it. Rounds go on
-    until the parents are stable, that is, until each vertex has one parent
-    and no parent has one. Each round keeps connectivity, and the links that
-    are left fall at least to the forest of vertices and parents.
+    becomes the parent and every other one is linked to it, and each vertex
+    is passed on to its parent's parent, which halves the depth of the
+    forest. Rounds go on until the parents are stable, that is, until each
+    vertex has one parent and no parent has one.
 
     Scale: a hot vertex has its pairs in one row and column of the grid, not
     in one task; a task works through its cells in bounded portions, since a
     local union-find may be run on any part of the pairs. The grid grows with
-    the pairs (``cell_edges`` a cell on average). Each round is two shuffles
-    of narrow rows and is checkpointed; only counts reach the driver.
+    the pairs (``cell_edges`` a cell on average). Each round is a few shuffles
+    of narrow rows and is checkpointed (AQE splits the join where one parent
+    has a large share of all vertices); only counts reach the driver.
     """
     edges = (
         pairs.select(F.col(left).cast("string").alias("u"), F.col(right).cast("string").alias("v"))
@@ -109,10 +110,18 @@ def components(
         # What the row and column of each vertex hold of it, at most one
         # representative for each cell and portion.
         parents = stars.groupBy("v").agg(F.min("r").alias("p"), F.collect_set("r").alias("_rs"))
-        links = parents.select(
-            F.col("p").alias("u"),
-            F.explode(F.array_append(F.filter("_rs", lambda x: x != F.col("p")), F.col("v"))).alias("v"),
-        ).distinct()
+        parents = cut_lineage(parents)
+        above = parents.select(F.col("v").alias("_v"), F.col("p").alias("_gp"))
+        jumped = parents.join(above, F.col("p") == F.col("_v"), "left").withColumn("_top", F.coalesce("_gp", "p"))
+        links = (
+            jumped.select(F.col("_top").alias("u"), "v")
+            .unionByName(
+                parents.where(F.size("_rs") > 1).select(
+                    F.col("p").alias("u"), F.explode(F.filter("_rs", lambda x: x != F.col("p"))).alias("v")
+                )
+            )
+            .distinct()
+        )
         edges = cut_lineage(links)
         # Stable: all links go from a root (never a child) to a child of one parent.
         children = edges.groupBy("v").agg(F.count("*").alias("n"))
