@@ -93,7 +93,7 @@ def test_identifiers(spark):
     ratios = spark.createDataFrame([(x,) for x in (2.02, 0.098, 1.2, -1.0, 9.97, 1.0982)], "r double")
     got = ratios.select(implied_factor("r"), F.round(snapped_ratio("r"), 6)).collect()
     assert [r[0] for r in got] == [2.0, 0.1, None, None, 10.0, None]
-    assert [r[1] for r in got] == [2.02, 0.1, 1.2, -1.0, 10.0, 1.1]
+    assert [r[1] for r in got] == [2.02, 0.098, 1.2, -1.0, 10.0, 1.1]
 
 
 def test_adjusted_returns_do_not_depend_on_the_anchor(spark):

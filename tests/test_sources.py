@@ -171,7 +171,7 @@ def test_workbooks(spark, tmp_path):
     rows = [[title], ["CÓDIGO"], ["PETR4", "PETROBRAS", "PN", 100.0, 5.5], ["VALE3", "VALE", "ON", 50.0, 4.5], ["Pregão Base:", 42975.0]]
     path = book(tmp_path / "w.xlsx", {"IBOV": rows, "IBRX": rows[:4], "notes": [["x"]]})
     got = workbooks.read_workbook(spark, path).collect()
-    assert {(r.index, r.ticker) for r in got} == {(i, t) for i in ("IBOV", "IBXX") for t in ("PETR4", "VALE3")}
+    assert {(r["index"], r.ticker) for r in got} == {(i, t) for i in ("IBOV", "IBXX") for t in ("PETR4", "VALE3")}
     assert {(r.period, r.source, r.base_session) for r in got} == {("2017-09", "third_preview", dt.date(2017, 8, 28))}
     for bad in ({"X": rows}, {"IBOV": [["no title"], *rows[1:]]}, {"IBOV": rows[:3]}, {"IBOV": rows, "IBRX": rows, "IBXX": rows[:3]}):
         with pytest.raises(FormatError):

@@ -31,7 +31,7 @@ def offset_sessions(df: DataFrame, sessions: DataFrame, day: str, bars: int, nam
     here = sessions.select(F.col("session").alias(day), F.col("pos").alias("_p"))
     there = sessions.select(F.col("session").alias(name), F.col("pos").alias("_q"))
     n = last.first()[0] or 0
-    moved = df.join(here, day, "left").withColumn("_q", F.greatest(F.least(F.col("_p") - bars, F.lit(n)), F.lit(0)))
+    moved = df.join(here, day, "left").withColumn("_q", F.when(F.col("_p").isNotNull(), F.greatest(F.least(F.col("_p") - bars, F.lit(n)), F.lit(0))))
     return moved.join(there, "_q", "left").drop("_p", "_q")
 
 

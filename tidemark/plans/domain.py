@@ -105,7 +105,7 @@ def multiset_union(spark, sf_dir):
     """WITH f AS (SELECT user_id, ts, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS new
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM f)
-SELECT user_id, run, any_value(event_type) AS event_type, min(event_id) AS first_event, max(event_id) AS last_event, count(*) AS n
+SELECT user_id, run::BIGINT AS run, any_value(event_type) AS event_type, min(event_id) AS first_event, max(event_id) AS last_event, count(*) AS n
 FROM g GROUP BY user_id, run""",
 )
 def value_runs(spark, sf_dir):
@@ -153,7 +153,7 @@ _FACTORS = ", ".join(repr(f) for f in sorted({f for b in FACTOR_BASES for f in (
 @_query(
     "implied_factors",
     f"""WITH r AS (SELECT DISTINCT upper(trim(from_isin)) AS from_isin, upper(trim(to_isin)) AS to_isin, ratio FROM link_candidates WHERE ratio > 0),
-f AS (SELECT unnest([{_FACTORS}]) AS f),
+f AS (SELECT unnest([{_FACTORS}]::DOUBLE[]) AS f),
 n AS (SELECT from_isin, to_isin, ratio, min(abs(ln(ratio / f))) AS d, arg_min(f, abs(ln(ratio / f))) AS f FROM r, f GROUP BY ALL)
 SELECT from_isin, to_isin, ratio, round(CASE WHEN d <= ln(1.05) THEN f END, 8) AS implied,
   round(CASE WHEN abs(ratio / f - 1) <= 0.005 THEN f WHEN abs(ratio / round(ratio, 2) - 1) <= 0.005 THEN round(ratio, 2) ELSE ratio END, 8) AS snapped FROM n""",
@@ -322,7 +322,7 @@ def wf_schedule(spark, sf_dir):
 
 
 _ORDERS = """
-ord AS (SELECT b.symbol, b.session AS decision, c.pos + 1 AS pos, 1000.0 AS size,
+ord AS (SELECT b.symbol, b.session AS decision, c.pos + 1 AS pos, 1000.0::DOUBLE AS size,
     CASE WHEN c.pos % 3 = 0 THEN b.close * 0.97 END AS buy_limit, CASE WHEN c.pos % 3 = 1 THEN b.close * 1.03 END AS sell_limit,
     CASE WHEN c.pos % 3 = 2 THEN CASE WHEN c.pos % 2 = 0 THEN 1 ELSE -1 END END AS side,
     b.close * 1.10 AS buy_stop, b.close * 0.90 AS sell_stop FROM bars b JOIN cal c USING (session)),

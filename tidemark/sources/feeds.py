@@ -41,7 +41,7 @@ def read_credits(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     lines = spark.read.text(list(paths)).select(
         F.col("_metadata.file_name").alias("source_file"), F.split(F.ltrim(F.regexp_replace("value", "^﻿", "")), ";").alias("c")
     )
-    cells = lines.where(F.size("c") == 6).withColumn("c", F.transform("c", F.trim))
+    cells = lines.where(F.size("c") == 6).withColumn("c", F.transform("c", lambda x: F.trim(x)))
     head = F.col("c")[0].isin("Issuer", "Emissor")
     comma = cells.where(head).groupBy("source_file").agg((F.min(F.col("c")[0]) == "Emissor").alias("comma"))
     rows = cells.where(~head).join(comma, "source_file", "left")
