@@ -15,8 +15,8 @@ def daily_totals(
 
     The delivery with the latest ``received`` counts (null is the earliest; of
     equally late ones the larger value; a null value counts as zero). Rows
-    without entity or day are left out. The shuffle is on (entity, day): both
-    aggregations run on it, and a hot entity is spread over its days.
+    without entity or day are left out. Both aggregations combine map-side,
+    so copies of a row, or the parts of one day, do not meet in one task.
     """
     rows = df.select(
         F.col(entity).alias("_e"),
@@ -24,7 +24,7 @@ def daily_totals(
         F.col(part).alias("_p"),
         F.struct(F.col(received).alias("r"), F.col(value).cast("double").alias("v")).alias("_x"),
     ).where("_e IS NOT NULL AND _d IS NOT NULL")
-    latest = rows.repartition("_e", "_d").groupBy("_e", "_d", "_p").agg(F.max("_x").alias("_x"))
+    latest = rows.groupBy("_e", "_d", "_p").agg(F.max("_x").alias("_x"))
     return latest.groupBy("_e", "_d").agg(
         F.sum(F.coalesce(F.nanvl("_x.v", F.lit(0.0)), F.lit(0.0))).alias("_v")
     ).select(F.col("_e").alias(entity), F.col("_d").alias(day), F.col("_v").alias(value))

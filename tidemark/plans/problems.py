@@ -283,7 +283,54 @@ def _p3_sql(feed: str, item: str, one: str, two: str, three: str) -> str:
 _CASH = _p3_sql("cash_history", "share_class", "round(cash_amount, 8)", "approved_on", "round(closing_price, 8)")
 _STOCK = _p3_sql("stock_events", "isin", "round(factor, 8)", "approved_on", "nullif(upper(trim(target_isin)), '')")
 
+_SPIKES = """
+r AS (SELECT upper(trim(isin)) AS isin, session_date AS d, previous_close AS b, open AS a, open_ratio AS q FROM ex_sessions),
+f AS (SELECT isin, d, a, b,
+    coalesce(NOT isfinite(b) OR b <= 0, false) OR coalesce(NOT isfinite(a) OR a <= 0, false) OR coalesce(NOT isfinite(q) OR q <= 0, false)
+      OR coalesce(isfinite(a) AND a > 0 AND isfinite(b) AND b > 0 AND isfinite(q) AND abs(q - a / b) > 0.01 * a / b, false) AS bad FROM r),
+g AS (SELECT isin, d, max(a) AS a, max(b) AS b, bool_or(bad) AS bad FROM f WHERE isin IS NOT NULL AND d IS NOT NULL GROUP BY isin, d),
+k AS (SELECT isin, d, bad, CASE WHEN isfinite(a) AND a > 0 THEN a END AS a, CASE WHEN isfinite(b) AND b > 0 THEN b END AS b FROM g),
+m AS (SELECT *, ln(a / b) AS m FROM k),
+w AS (SELECT *, list(m) FILTER (m IS NOT NULL) OVER (o ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS ms,
+    (count(a) OVER (o ROWS 4 PRECEDING) = 5 AND min(a) OVER (o ROWS 4 PRECEDING) = max(a) OVER (o ROWS 4 PRECEDING))
+      OR (count(b) OVER (o ROWS 4 PRECEDING) = 5 AND min(b) OVER (o ROWS 4 PRECEDING) = max(b) OVER (o ROWS 4 PRECEDING)) AS ends,
+    list(coalesce(a, b)) FILTER (coalesce(a, b) IS NOT NULL) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS nb,
+    list(coalesce(b, a)) FILTER (coalesce(b, a) IS NOT NULL) OVER (o ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS na
+  FROM m WINDOW o AS (PARTITION BY isin ORDER BY d)),
+x AS (SELECT *, list_aggregate(ms, 'median') AS med, list_aggregate(nb, 'median') AS mb, list_aggregate(na, 'median') AS ma,
+    coalesce(bool_or(ends) OVER (PARTITION BY isin ORDER BY d ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), false) AS stuck,
+    least(a, b) AS lo, greatest(a, b) AS hi,
+    lag(coalesce(a, b), 1 IGNORE NULLS) OVER (PARTITION BY isin ORDER BY d) AS p1,
+    lead(coalesce(b, a), 1 IGNORE NULLS) OVER (PARTITION BY isin ORDER BY d) AS n1 FROM w),
+y AS (SELECT *, coalesce(len(ms) >= 5 AND abs(m - med) > 8 * greatest(1.4826 * list_aggregate(list_transform(ms, lambda v: abs(v - med)), 'median'), 0.001), false) AS far FROM x),
+z AS (SELECT *, bad OR {one} OR {two} AS suspect FROM y),
+u AS (SELECT *, lag(CASE WHEN NOT suspect THEN coalesce(a, b) END, 1 IGNORE NULLS) OVER (PARTITION BY isin ORDER BY d) AS p2,
+    lead(CASE WHEN NOT suspect THEN coalesce(b, a) END, 1 IGNORE NULLS) OVER (PARTITION BY isin ORDER BY d) AS n2 FROM z),
+flags AS (SELECT isin, strftime(d, '%Y-%m-%d') AS session_date, bad AS impossible, stuck, {last} AS spike FROM u)"""
+
+
+def _spike_sql(p: str, n: str) -> str:
+    return f"""(coalesce((lo > 3 * {p} AND lo > 3 * {n}) OR (hi * 3 < {p} AND hi * 3 < {n}), false)
+      OR (far AND NOT coalesce(ln(b / coalesce({p}, b)) * sign(m) > -abs(m) / 2 AND ln({n} / a) * sign(m) > -abs(m) / 2, false)))"""
+
+
+_FLAGS = _SPIKES.format(one=_spike_sql("p1", "n1"), two=_spike_sql("mb", "ma"), last=_spike_sql("p2", "n2"))
+
 SQL = {
+    "p1_flags": f"WITH {_FLAGS} SELECT isin, session_date, impossible, stuck, spike FROM flags",
+    "p1_found": f"WITH {_FLAGS} SELECT isin, session_date FROM flags WHERE impossible OR stuck OR spike",
+    "p2_presence": f"""
+WITH {_DAYS},
+span AS (SELECT security_id, min(session_date) AS f, max(session_date) AS l FROM daily JOIN cal USING (session_date) GROUP BY ALL),
+grid AS (SELECT s.security_id, c.session_date FROM span s JOIN cal c ON c.session_date BETWEEN s.f AND s.l),
+hits AS (SELECT g.security_id, g.session_date, {", ".join(f"count(*) FILTER (d.session_date > g.session_date - INTERVAL {m} MONTH) AS k{m}" for m in (1, 2, 3, 4, 6, 12))}
+  FROM grid g JOIN daily d ON d.security_id = g.security_id AND d.v > 0 AND d.session_date <= g.session_date
+    AND d.session_date > g.session_date - INTERVAL 12 MONTH GROUP BY ALL),
+spans AS (SELECT a.session_date, {", ".join(f"count(*) FILTER (b.session_date > a.session_date - INTERVAL {m} MONTH) AS n{m}" for m in (1, 2, 3, 4, 6, 12))}
+  FROM cal a JOIN cal b ON b.session_date <= a.session_date AND b.session_date > a.session_date - INTERVAL 12 MONTH GROUP BY ALL)
+SELECT g.security_id, strftime(g.session_date, '%Y-%m-%d') AS session_date,
+  {", ".join(f"round(coalesce(k{m}, 0) / n{m}, 8) AS presence_{m}m" for m in (1, 2, 3, 4, 6, 12))}
+FROM grid g JOIN spans USING (session_date) LEFT JOIN hits h ON h.security_id = g.security_id AND h.session_date = g.session_date""",
     "p2_found": f"""
 WITH {_DAYS},
 span AS (SELECT security_id, min(pos) FILTER (v > 0) AS f, max(pos) FILTER (v > 0) AS l
