@@ -2,9 +2,9 @@
 
 import pytest
 
-from tidemark.plans import analytics, domain, kernels, problems
+from tidemark.plans import analytics, domain, kernels, lineage, problems
 
-PAIRS = [(n, m.QUERIES[n], m.SQL[n]) for m in (problems, kernels, analytics, domain) for n in m.SQL]
+PAIRS = [(n, m.QUERIES[n], m.SQL[n]) for m in (problems, kernels, analytics, domain, lineage) for n in m.SQL]
 
 
 @pytest.mark.parametrize("name,query,sql", PAIRS, ids=[p[0] for p in PAIRS])

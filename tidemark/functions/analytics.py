@@ -390,3 +390,41 @@ def trade_timing(trades: DataFrame, sessions: DataFrame, by: str = "series") ->
         F.try_divide(F.col("_covered").cast("double"), F.lit(float(n))).alias("exposure"),
         "average_holding_period",
     )
+
+
+# -- text --------------------------------------------------------------------------------------
+
+#: What each metric is measured in.
+UNITS = {
+    **dict.fromkeys(
+        (
+            "total_return", "cagr", "annualized_volatility", "max_drawdown", "mean_return", "standard_deviation", "best_period", "worst_period",
+            "positive_ratio", "negative_ratio", "value_at_risk", "conditional_value_at_risk", "tracking_error", "excess_cagr", "win_rate", "loss_rate",
+        ),
+        "share",
+    ),
+    **dict.fromkeys(
+        ("sharpe_ratio", "sortino_ratio", "calmar_ratio", "information_ratio", "skewness", "kurtosis", "correlation", "beta", "payoff_ratio", "profit_factor"),
+        "ratio",
+    ),
+    **dict.fromkeys(("observations", "longest_closed_drawdown", "trade_count", "max_consecutive_wins", "max_consecutive_losses"), "count"),
+}
+
+
+def as_text(long: DataFrame, by: str = "series", metric: str = "metric", value: str = "value") -> str:
+    """A plain table of a summary, one column per series; missing as n/a.
+
+    Meant for a summary, whose rows are metrics times series.
+    """
+    rows = long.select(by, metric, value).collect()
+    series = sorted({r[0] for r in rows})
+    metrics = list(dict.fromkeys(r[1] for r in rows))
+    found = {(r[1], r[0]): r[2] for r in rows}
+
+    def cell(m: str, s: str) -> str:
+        v = found.get((m, s))
+        return "n/a" if v is None else f"{v:.0f}" if UNITS.get(m) == "count" else f"{v:.4f}"
+
+    table = [["", *series], *([m, *(cell(m, s) for s in series)] for m in metrics)]
+    widths = [max(len(r[i]) for r in table) for i in range(len(series) + 1)]
+    return "\n".join("  ".join(c.ljust(w) if i == 0 else c.rjust(w) for i, (c, w) in enumerate(zip(r, widths, strict=True))).rstrip() for r in table)

@@ -88,3 +88,27 @@ def interior_gaps(df: DataFrame, x: str, by: str = "symbol", at: str = "session"
     numbered = df.withColumn("_n", F.row_number().over(w))
     seen = F.when(F.col(x).isNotNull(), F.col("_n"))
     return numbered.groupBy(by).agg((F.max(seen) - F.min(seen) + 1 > F.count(x)).alias("has_gap")).na.fill({"has_gap": False})
+
+
+def rule_calendar(spark, start: str, end: str, holidays: DataFrame | None = None) -> DataFrame:
+    """``session, pos`` of all weekdays but the listed holidays (``session``)."""
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("session"))
+    days = days.where(F.dayofweek("session").between(2, 6))
+    if holidays is not None:
+        days = days.join(holidays.select("session"), "session", "left_anti")
+    return sessions_of(days, "session")
+
+
+def align_each(df: DataFrame, calendars: DataFrame, of: DataFrame, by: str = "symbol", at: str = "session") -> DataFrame:
+    """:func:`align` with a calendar per symbol.
+
+    ``calendars`` are ``calendar, session, pos``, ``of`` names the calendar of
+    each symbol; a symbol without one is an error when the rows are read.
+    """
+    missing = F.raise_error(F.concat(F.lit("no calendar for "), F.col(by))).cast("string")
+    named = df.join(of.select(by, "calendar"), by, "left").withColumn("calendar", F.coalesce("calendar", missing))
+    on = named.join(calendars.withColumnRenamed("session", at), ["calendar", at])
+    bounds = on.groupBy(by, "calendar").agg(F.min("pos").alias("_a"), F.max("pos").alias("_b"))
+    grid = bounds.select(by, "calendar", F.explode(F.sequence("_a", "_b")).alias("pos"))
+    filled = grid.join(on.drop(at, "calendar"), [by, "pos"], "left")
+    return filled.join(calendars.withColumnRenamed("session", at), ["calendar", "pos"]).drop("pos", "calendar")

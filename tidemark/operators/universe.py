@@ -121,3 +121,46 @@ def exits(selected: DataFrame, bars: DataFrame, periods: DataFrame) -> DataFrame
         .where(F.col("last_session") < F.col("effective_to"))
         .select("period", "symbol", "effective_to", "last_session")
     )
+
+
+def fill_gaps(selected: DataFrame, ranked: DataFrame, periods: DataFrame) -> DataFrame:
+    """``period, symbol, filled``: compositions, and ranked names where there are none.
+
+    A period without a composition takes as many of its best ranked names as
+    the nearest period with one has members (the later one on a tie).
+    """
+    sizes = selected.groupBy("period").agg(F.count_distinct("symbol").alias("_size"))
+    w = Window.partitionBy(F.lit(1)).orderBy("effective_from")
+    numbered = periods.select("period", F.row_number().over(w).alias("_i")).join(sizes, "period", "left")
+    order = Window.partitionBy(F.lit(1)).orderBy("_i")
+    near = numbered.withColumns(
+        {
+            side: F.last(F.when(F.col("_size").isNotNull(), F.struct("_i", "_size")), True).over(spec)
+            for side, spec in (("_b", order.rowsBetween(Window.unboundedPreceding, 0)), ("_a", Window.partitionBy(F.lit(1)).orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+        }
+    )
+    closer = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.col("_a._i") - F.col("_i") <= F.col("_i") - F.col("_b._i")))
+    need = near.where("_size IS NULL").select("period", F.when(closer, F.col("_a._size")).otherwise(F.col("_b._size")).alias("_need"))
+    filled = ranked.join(need, "period").where("rank <= _need").select("period", "symbol", F.lit(True).alias("filled"))
+    return selected.select("period", "symbol", F.lit(False).alias("filled")).distinct().unionByName(filled)
+
+
+def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``period, share``: the part of the left members that the right has too."""
+    both = left.select("period", "symbol").distinct().join(right.select("period", "symbol").distinct().withColumn("_in", F.lit(1)), ["period", "symbol"], "left")
+    return both.groupBy("period").agg((F.count("_in") / F.count("*")).alias("share"))
+
+
+def resolved(members: DataFrame, spans: DataFrame, label: str, at: str, entity: str) -> DataFrame:
+    """``members`` with the one entity that has the label in force at a day.
+
+    Null if there is none or several. Spans of a label are few; both sides
+    meet on it.
+    """
+    held = spans.select(F.col(label), F.col(entity).alias("_e"), "first_session", "last_session")
+    met = members.select(label, at).distinct().join(held, label).where(
+        (F.col(at) >= F.col("first_session")) & (F.col("last_session").isNull() | (F.col(at) <= F.col("last_session")))
+    )
+    sole = met.groupBy(label, at).agg(F.min("_e").alias("_least"), F.max("_e").alias("_most"))
+    sole = sole.select(label, at, F.when(F.col("_least") == F.col("_most"), F.col("_least")).alias(entity))
+    return members.join(sole, [label, at], "left")
