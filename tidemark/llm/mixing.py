@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokenizer import as_texts, encode_text, encoding, vocabulary_path
+from tidemark.llm.tokenizer import IDS_AT_ONCE, as_text, encode_text, encoding, list_array, vocabulary_path
 from tidemark.session import written
 
 #: Tail groups: the short ends that this many input splits leave of a source
@@ -159,14 +159,13 @@ _BLOCKS = "source string, split bigint, seq bigint, n_tokens int, ids array<int>
 
 def _batch(blocks: list[tuple[str, int, np.ndarray]], split: int) -> pa.RecordBatch:
     sizes = np.array([len(b[2]) for b in blocks], dtype=np.int32)
-    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     return pa.record_batch(
         [
             pa.array([b[0] for b in blocks], pa.string()),
             pa.array(np.full(len(blocks), split, dtype=np.int64)),
             pa.array(np.array([b[1] for b in blocks], dtype=np.int64)),
             pa.array(sizes),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([b[2] for b in blocks]).astype(np.int32))),
+            list_array([b[2] for b in blocks]),
         ],
         ["source", "split", "seq", "n_tokens", "ids"],
     )
@@ -177,8 +176,11 @@ def _pack_texts(path: str, block: int):
         enc, packer, split = encoding(path), _Packer(block), TaskContext.get().partitionId()
         for batch in batches:
             out = []
-            for source, text in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), strict=True):
-                out += packer.add(source, np.array(encode_text(enc, text), dtype=np.int32))
+            for source, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out += packer.add(source, np.array(encode_text(enc, as_text(text)), dtype=np.int32))
+                if len(out) * block >= IDS_AT_ONCE:
+                    yield _batch(out, split)
+                    out = []
             if out:
                 yield _batch(out, split)
         if out := list(packer.rest()):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.tokenizer import as_texts, encode_text, encoding, vocabulary_path
+from tidemark.llm.tokenizer import as_text, encode_text, encoding, vocabulary_path
 
 #: Strengths of the places a piece may end at.
 PARAGRAPH, LINE, SENTENCE, WORD, CHARACTER = 4, 3, 2, 1, 0
@@ -198,7 +198,7 @@ def split_documents(
         splitter = Splitter(path, limit, overlap)
         for batch in batches:
             owner, rows, parts = [], [], []
-            for i, text in enumerate(as_texts(batch.column(1))):
+            for i, text in enumerate(map(as_text, batch.column(1))):
                 pieces = splitter.split(text)
                 if len(pieces) < 2 and not small:
                     continue

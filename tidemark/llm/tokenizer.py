@@ -22,6 +22,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Texts longer than this many characters are cut before they are encoded.
 CHUNK_CHARS = 65_536
 
+#: Ids that leave a task at a time, whatever the size of the batches it gets.
+IDS_AT_ONCE = 1 << 19
+
 #: Runs of white space longer than this bypass the regex, whose look-ahead
 #: backtracks over the whole run (a million blanks overflow its stack).
 LONG_SPACE = 4_096
@@ -90,16 +93,17 @@ def decode_ids(enc: tiktoken.Encoding, ids: list[int]) -> bytes:
     return enc.decode_bytes(ids)
 
 
-def as_texts(column: pa.Array) -> list[str | None]:
-    """Python strings of a binary column; damaged UTF-8 as U+FFFD."""
-    return [None if x is None else x.decode("utf-8", "replace") for x in column.to_pylist()]
+def as_text(value: pa.Scalar) -> str | None:
+    """The string of a binary value; damaged UTF-8 as U+FFFD."""
+    raw = value.as_py()
+    return None if raw is None else raw.decode("utf-8", "replace")
 
 
-def _arrays(lists: list[list[int]]) -> pa.ListArray:
-    ends = np.zeros(len(lists) + 1, dtype=np.int32)
-    np.cumsum([len(x) for x in lists], out=ends[1:])
-    flat = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+def list_array(rows: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of ids as one column of lists."""
+    ends = np.zeros(len(rows) + 1, dtype=np.int32)
+    np.cumsum([len(x) for x in rows], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
 
 
 def encode_documents(
@@ -118,8 +122,13 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
         for batch in batches:
-            lists = [encode_text(enc, t) for t in as_texts(batch.column(1))]
-            yield pa.record_batch([batch.column(0), _arrays(lists)], [id_column, "ids"])
+            start, rows, held = 0, [], 0
+            for i, text in enumerate(batch.column(1), 1):
+                rows.append(np.array(encode_text(enc, as_text(text)), dtype=np.int32))
+                held += len(rows[-1])
+                if held >= IDS_AT_ONCE or i == batch.num_rows:
+                    yield pa.record_batch([batch.column(0).slice(start, i - start), list_array(rows)], [id_column, "ids"])
+                    start, rows, held = i, [], 0
 
     return df.select(id_column, F.col(text_column).cast("binary").alias("_t")).mapInArrow(run, schema)
 
