@@ -27,37 +27,39 @@ BROADCAST_ROWS = 500_000
 # -- pseudorandom permutations of an index range ------------------------------
 
 
-def _mixed(x: np.ndarray, key: int) -> np.ndarray:
+def _mixed(x: np.ndarray, key: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (x + np.uint64(key & (2**64 - 1))) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x + key) * np.uint64(0x9E3779B97F4A7C15)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         return x ^ (x >> np.uint64(27))
 
 
-def permuted(index: np.ndarray, n: int, key: int, *, inverse: bool = False) -> np.ndarray:
+def permuted(index: np.ndarray, n: int, key: int | np.ndarray, *, inverse: bool = False) -> np.ndarray:
     """A pseudorandom permutation of ``0 .. n-1`` (or its inverse) at ``index``.
 
     A Feistel network over the next power of four, walked on until the result
-    is in range; needs no table, so any index can be mapped anywhere.
+    is in range; needs no table, so any index can be mapped anywhere. With an
+    array of keys each index has a permutation of its own.
     """
     if n <= 1:
         return np.asarray(index, dtype=np.int64).copy()
     half = max(1, ((n - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
-    rounds = [key * 8 + r for r in range(4)]
+    keys = np.broadcast_to(np.asarray(key, dtype=np.int64).astype(np.uint64), np.shape(index)) * np.uint64(8)
+    rounds = [np.uint64(r) for r in range(4)]
 
-    def once(x: np.ndarray) -> np.ndarray:
+    def once(x: np.ndarray, k: np.ndarray) -> np.ndarray:
         left, right = x >> np.uint64(half), x & mask
-        for k in reversed(rounds) if inverse else rounds:
+        for r in reversed(rounds) if inverse else rounds:
             if inverse:
-                left, right = right ^ (_mixed(left, k) & mask), left
+                left, right = right ^ (_mixed(left, k + r) & mask), left
             else:
-                left, right = right, left ^ (_mixed(right, k) & mask)
+                left, right = right, left ^ (_mixed(right, k + r) & mask)
         return (left << np.uint64(half)) | right
 
-    out = once(np.asarray(index).astype(np.uint64))
+    out = once(np.asarray(index).astype(np.uint64), keys)
     while (beyond := out >= np.uint64(n)).any():
-        out[beyond] = once(out[beyond])
+        out[beyond] = once(out[beyond], keys[beyond])
     return out.astype(np.int64)
 
 
@@ -72,8 +74,13 @@ class Mixture:
     blocks: np.ndarray  # blocks there are of each source
     quotas: np.ndarray  # blocks the mixture takes of each
     before: np.ndarray  # [shard, source]: blocks of a source before a shard
+    shard_blocks: int
     seed: int
 
+    def epochs(self) -> np.ndarray:
+        """How often each source is gone through, the last time perhaps in part."""
+        return -(-self.quotas // np.maximum(self.blocks, 1))
+
 
 def wanted_tokens(shares: Sequence[float], available: Sequence[int], repeats: Sequence[int], total: float) -> np.ndarray:
     """Tokens of each source: its share of ``total``, at most its repeats.
@@ -310,39 +317,52 @@ def _planned(df, source, text, targets, block_tokens, shard_blocks, total_tokens
     index = blocks.join(small, ["source", "split"]).withColumn(
         "block", F.col("_before") + F.col("seq")
     )
-    return index.drop("_before", "split", "seq"), Mixture(names, counts, quotas, before, seed)
+    return index.drop("_before", "split", "seq"), Mixture(names, counts, quotas, before, shard_blocks, seed)
 
 
 def _placed(blocks: DataFrame, mixture: Mixture) -> DataFrame:
     spark = blocks.sparkSession
     shared = spark.sparkContext.broadcast(mixture)
 
-    @F.pandas_udf("array<struct<shard:bigint,slot:bigint,epoch:int>>")
+    most = max(1, int(mixture.epochs().max(initial=0)))
+
+    @F.pandas_udf("array<bigint>")
     def slots(source: pd.Series, block: pd.Series) -> pd.Series:
+        """Of each block its places in the output, with the epoch of each."""
+        if not len(source):
+            return pd.Series([], dtype=object)
         m = shared.value
-        out = np.empty(len(source), dtype=object)
-        out[:] = [[] for _ in range(len(source))]
-        sizes = m.before[1:].sum(axis=1) - m.before[:-1].sum(axis=1)
+        size = m.before[1:].sum(axis=1) - m.before[:-1].sum(axis=1)
         codes = pd.Categorical(source, categories=list(m.sources)).codes
+        rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for s in map(int, np.unique(codes[codes >= 0])):
-            rows = np.flatnonzero(codes == s)
-            index, n, quota = block.to_numpy()[rows], int(m.blocks[s]), int(m.quotas[s])
-            for epoch in range(-(-quota // n) if n else 0):
+            here = np.flatnonzero(codes == s)
+            index, n, quota = block.to_numpy()[here], int(m.blocks[s]), int(m.quotas[s])
+            for epoch in range(int(m.epochs()[s])):
                 nth = epoch * n + permuted(index, n, m.seed * 1_000_003 + s * 1009 + epoch, inverse=True)
                 used = nth < quota
-                nth, at = nth[used], rows[used]
+                nth = nth[used]
                 shard = np.searchsorted(m.before[:, s], nth, side="right") - 1
                 local = nth - m.before[shard, s] + (m.before[shard + 1, :s] - m.before[shard, :s]).sum(axis=1)
-                for k in np.unique(shard):
-                    here = shard == k
-                    local[here] = permuted(local[here], int(sizes[k]), m.seed * 1_000_003 + 7919 + int(k))
-                for r, k, i in zip(at, shard, local, strict=True):
-                    out[r].append({"shard": int(k), "slot": int(i), "epoch": epoch})
-        return pd.Series(out)
+                for full in np.unique(size[shard]):  # all shards but the last are equally large
+                    alike = size[shard] == full
+                    local[alike] = permuted(local[alike], int(full), m.seed * 1_000_003 + 7919 + shard[alike])
+                rows.append(here[used])
+                places.append((shard * m.shard_blocks + local) * most + epoch)
+        row, place = np.concatenate(rows), np.concatenate(places)
+        place = place[np.argsort(row, kind="stable")]
+        return pd.Series(np.split(place, np.cumsum(np.bincount(row, minlength=len(source)))[:-1]))
 
     placed = blocks.withColumn("_s", slots("source", "block")).where(F.size("_s") > 0)
-    return placed.select("source", "block", "n_tokens", "ids", F.inline("_s")).select(
-        "shard", "slot", "source", "epoch", "block", "n_tokens", "ids"
+    at = F.expr(f"_p div {most}")
+    return placed.select("source", "block", "n_tokens", "ids", F.explode("_s").alias("_p")).select(
+        F.expr(f"_p div {most} div {mixture.shard_blocks}").alias("shard"),
+        (at % mixture.shard_blocks).alias("slot"),
+        "source",
+        (F.col("_p") % most).cast("int").alias("epoch"),
+        "block",
+        "n_tokens",
+        "ids",
     )
 
 
