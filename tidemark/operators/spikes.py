@@ -31,6 +31,7 @@ def flag_readings(
     ratio_tolerance: float = 0.01,
     min_observations: int = 5,
     min_deviation: float = 1e-3,
+    evidence: float = 3.0,
 ) -> DataFrame:
     """One row per (source, order) with the flags of its readings.
 
@@ -47,7 +48,10 @@ def flag_readings(
       (``half_window`` rows on either side), unless the readings stay at the
       new level; or the readings lie more than ``level`` times above, or
       below, the sound ones on both sides. Which neighbours are sound is
-      settled by a first pass of the same tests.
+      settled by a first pass of the same tests. A move counts as staying if
+      the gaps to both neighbours are likelier, by ``evidence`` in log odds,
+      with the new level kept than with it undone, gaps being normal with the
+      source's usual one (scaled median in the same window).
 
     Nulls: a row without source or order gives no result; a null reading is
     no case and is passed over. Exact repeats count once; of contradicting
@@ -86,6 +90,7 @@ def flag_readings(
         .withColumn("_m", F.log(F.col("_a") / F.col("_b")))
     )
     w = Window.partitionBy("_s").orderBy("_o")
+    keyed = keyed.withColumn("_gap", F.abs(F.log(F.col("_b") / F.lag("_a").over(w))))
     around = w.rowsBetween(-half_window, half_window)
 
     def repeated(c: str) -> Column:
@@ -98,6 +103,7 @@ def flag_readings(
         keyed.withColumns(
             {
                 "_moves": F.sort_array(F.collect_list("_m").over(around)),
+                "_gaps": F.sort_array(F.collect_list("_gap").over(around)),
                 "_end_a": repeated("_a"),
                 "_end_b": repeated("_b"),
                 "_near_b": near_before,
@@ -107,6 +113,7 @@ def flag_readings(
         .withColumns(
             {
                 "_med": _middle(F.col("_moves")),
+                "_drift": F.greatest(F.lit(1.4826) * _middle(F.col("_gaps")), F.lit(min_deviation)),
                 "_stuck": F.max(F.col("_end_a") | F.col("_end_b")).over(w.rowsBetween(0, run - 1)),
                 "_low": F.least("_a", "_b"),
                 "_high": F.greatest("_a", "_b"),
@@ -122,7 +129,7 @@ def flag_readings(
                 F.lit(False),
             ),
         )
-        .drop("_moves", "_devs", "_end_a", "_end_b")
+        .drop("_moves", "_gaps", "_devs", "_end_a", "_end_b")
     )
 
     def spike(prior: str, following: str) -> Column:
@@ -130,12 +137,11 @@ def flag_readings(
         beyond = ((F.col("_low") > level * p) & (F.col("_low") > level * n)) | (
             (F.col("_high") * level < p) & (F.col("_high") * level < n)
         )
-        # The readings stay if neither neighbour speaks for a return: each gap
-        # to a neighbour undoes less than half of the move.
-        undone = -F.abs(F.col("_m")) / 2
-        arrived = F.log(F.col("_b") / F.coalesce(p, F.col("_b"))) * F.signum("_m")
-        left = F.log(n / F.col("_a")) * F.signum("_m")
-        stays = (arrived > undone) & (left > undone)
+        # Log odds of each gap as it is against the gap with the move undone.
+        m, scale = F.col("_m"), 2 * F.col("_drift") * F.col("_drift")
+        arrived = F.log(F.col("_b") / F.coalesce(p, F.col("_b")))
+        left = F.log(n / F.col("_a"))
+        stays = (m * (m + 2 * arrived) / scale > evidence) & (m * (m + 2 * left) / scale > evidence)
         return F.coalesce(beyond, F.lit(False)) | (F.col("_far") & ~F.coalesce(stays, F.lit(False)))
 
     def neighbours(sound: str, prior: str, following: str) -> list[str]:

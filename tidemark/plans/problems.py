@@ -290,14 +290,14 @@ f AS (SELECT isin, d, a, b,
       OR coalesce(isfinite(a) AND a > 0 AND isfinite(b) AND b > 0 AND isfinite(q) AND abs(q - a / b) > 0.01 * a / b, false) AS bad FROM r),
 g AS (SELECT isin, d, max(a) AS a, max(b) AS b, bool_or(bad) AS bad FROM f WHERE isin IS NOT NULL AND d IS NOT NULL GROUP BY isin, d),
 k AS (SELECT isin, d, bad, CASE WHEN isfinite(a) AND a > 0 THEN a END AS a, CASE WHEN isfinite(b) AND b > 0 THEN b END AS b FROM g),
-m AS (SELECT *, ln(a / b) AS m FROM k),
-w AS (SELECT *, list(m) FILTER (m IS NOT NULL) OVER (o ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS ms,
+m AS (SELECT *, ln(a / b) AS m, abs(ln(b / lag(a) OVER (PARTITION BY isin ORDER BY d))) AS gap FROM k),
+w AS (SELECT *, list(gap) FILTER (gap IS NOT NULL) OVER (o ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS gs, list(m) FILTER (m IS NOT NULL) OVER (o ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS ms,
     (count(a) OVER (o ROWS 4 PRECEDING) = 5 AND min(a) OVER (o ROWS 4 PRECEDING) = max(a) OVER (o ROWS 4 PRECEDING))
       OR (count(b) OVER (o ROWS 4 PRECEDING) = 5 AND min(b) OVER (o ROWS 4 PRECEDING) = max(b) OVER (o ROWS 4 PRECEDING)) AS ends,
     list(coalesce(a, b)) FILTER (coalesce(a, b) IS NOT NULL) OVER (o ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS nb,
     list(coalesce(b, a)) FILTER (coalesce(b, a) IS NOT NULL) OVER (o ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS na
   FROM m WINDOW o AS (PARTITION BY isin ORDER BY d)),
-x AS (SELECT *, list_aggregate(ms, 'median') AS med, list_aggregate(nb, 'median') AS mb, list_aggregate(na, 'median') AS ma,
+x AS (SELECT *, 2 * pow(greatest(1.4826 * list_aggregate(gs, 'median'), 0.001), 2) AS sc, list_aggregate(ms, 'median') AS med, list_aggregate(nb, 'median') AS mb, list_aggregate(na, 'median') AS ma,
     coalesce(bool_or(ends) OVER (PARTITION BY isin ORDER BY d ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING), false) AS stuck,
     least(a, b) AS lo, greatest(a, b) AS hi,
     lag(coalesce(a, b), 1 IGNORE NULLS) OVER (PARTITION BY isin ORDER BY d) AS p1,
@@ -311,7 +311,7 @@ flags AS (SELECT isin, strftime(d, '%Y-%m-%d') AS session_date, bad AS impossibl
 
 def _spike_sql(p: str, n: str) -> str:
     return f"""(coalesce((lo > 3 * {p} AND lo > 3 * {n}) OR (hi * 3 < {p} AND hi * 3 < {n}), false)
-      OR (far AND NOT coalesce(ln(b / coalesce({p}, b)) * sign(m) > -abs(m) / 2 AND ln({n} / a) * sign(m) > -abs(m) / 2, false)))"""
+      OR (far AND NOT coalesce(m * (m + 2 * ln(b / coalesce({p}, b))) / sc > 3 AND m * (m + 2 * ln({n} / a)) / sc > 3, false)))"""
 
 
 _FLAGS = _SPIKES.format(one=_spike_sql("p1", "n1"), two=_spike_sql("mb", "ma"), last=_spike_sql("p2", "n2"))
