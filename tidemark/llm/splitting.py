@@ -142,7 +142,7 @@ class Splitter:
         window = between(shortest, high)
         if window.start < window.stop:
             return int(at[window.stop - 1]), int(kind[window.stop - 1])
-        top, bottom = int(ends[target - 1]), int(ends[max(cut, target - 1 - near)])
+        top, bottom = int(ends[target - 1]), int(ends[min(shortest, target - 1)])
         blanks = [m.start() for m in _BLANK.finditer(raw, bottom, top) if m.start() > bottom]
         if blanks:
             return blanks[-1], WORD
