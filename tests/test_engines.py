@@ -219,3 +219,19 @@ def test_walk_forward_errors(sessions):
     got = backtest.walk_forward(sessions, "2024-02-01", "2024-12-31", 1, 1).collect()
     assert [r.window for r in got] == ["2024-02"]
     assert got[0].train_end == dt.date(2024, 1, 31) and got[0].test_end == dt.date(2024, 2, 29) and got[0].decision_end == dt.date(2024, 2, 28)
+
+
+@pytest.mark.parametrize("length", [5, 7, 64])
+def test_slices_give_the_values_of_the_whole_series(spark, length):
+    from tidemark.operators.slices import in_slices
+
+    rng = random.Random(length)
+    rows = [(s, day(i * 3), None if rng.random() < 0.2 else rng.uniform(1, 9)) for s in "ab" for i in range(150)]
+    df = spark.createDataFrame(rows, "symbol string, session date, close double")
+    for reach, kernel in ((4, lambda by: K.rolling_std("close", 5, by=by)), (3, lambda by: K.lag("close", 3, by=by)), (1, lambda by: K.log_returns("close", by=by))):
+        whole = {(r.symbol, r.session): r.v for r in df.withColumn("v", kernel("symbol")).collect()}
+        cut = in_slices(df, "close", kernel, "v", reach=reach, length=length)
+        got = {(r.symbol, r.session): r.v for r in cut.collect()}
+        assert cut.count() == len(rows) and got == whole
+    with pytest.raises(ValueError):
+        in_slices(df, "close", lambda by: K.lag("close", 9, by=by), "v", reach=9, length=5)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
 from tidemark.operators import calendar as C
+from tidemark.operators.slices import in_slices
 from tidemark.plans import market as M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +153,14 @@ _kernel(
     lambda: K.rolling_zscore("close", 20),
     _strict(20, f"(x - avg(x) OVER {_frame(20)}) / NULLIF({_STD}, 0)"),
 )
+@_query("rolling_std_sliced", SQL["rolling_std_20"])
+def rolling_std_sliced(spark, sf_dir):
+    """The same in slices of 256 observations, as for a hot symbol."""
+    rows = _aligned(spark, sf_dir).select("symbol", "session", "close")
+    cut = in_slices(rows, "close", lambda by: K.rolling_std("close", 20, by=by), "value", reach=19, length=256)
+    return cut.select("symbol", "session", F.round("value", 8).alias("value"))
+
+
 _kernel("hist_vol_20", lambda: K.historical_volatility("ret", 20), _strict(20, _STD), on_returns=True)
 
 
