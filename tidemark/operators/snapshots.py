@@ -9,11 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, written
 
 #: Cells a record goes into.
 HASHES = 3
 
+#: Keys that differ are broadcast up to this many (about 10 MB), to fetch
+#: their records without a shuffle of all; beyond, the join is Spark's.
+BROADCAST_ROWS = 500_000
+
 # The constants of the public xxHash64 algorithm.
 _P1, _P2, _P3, _P4, _P5 = (
     np.uint64(x)
@@ -151,7 +155,8 @@ def snapshot_changes(
     pairs = (
         numbered.groupBy("_n", "_k", "_v").agg(F.lit(1).alias("_one")).withColumn("_b", F.pmod("_k", F.lit(buckets)))
     ).drop("_one")
-    pairs = cut_lineage(pairs)
+    # Laid out by bucket, so that a task's rows share their cells from here on.
+    pairs = written(pairs.repartition("_b"), "pairs")
     last = max(0, len(per_snapshot) - 1)
 
     def against(one: DataFrame) -> DataFrame:
@@ -171,9 +176,10 @@ def snapshot_changes(
     size = cells
     for salt in range(max_rounds):
         size = size // HASHES * HASHES
-        chosen = against(pairs) if todo is None else against(pairs).join(todo, ["_d", "_b"], "left_semi")
-        # A record of both snapshots meets itself in the same cells of one
-        # group, so building and subtracting the tables is one aggregation.
+        chosen = pairs
+        if todo is not None:
+            both = todo.select("_b", F.explode(F.array("_d", F.col("_d") - 1)).alias("_n")).distinct()
+            chosen = pairs.join(both, ["_n", "_b"], "left_semi")
         part = size // HASHES
         place = F.array(
             *(
@@ -181,17 +187,20 @@ def snapshot_changes(
                 for j in range(HASHES)
             )
         )
+        xors = {c: F.bit_xor(c).alias(c) for c in ("_k", "_v", "_x")}
+        filled = (
+            chosen.select("_n", "_b", "_k", "_v", F.xxhash64(F.lit(-1).cast("bigint"), "_k", "_v").alias("_x"), F.explode(place).alias("_cell"))
+            .groupBy("_n", "_b", "_cell")
+            .agg(F.count("*").alias("_c"), *xors.values())
+        )
         table = (
-            chosen.select("_d", "_b", "_s", "_k", "_v", F.xxhash64(F.lit(-1).cast("bigint"), "_k", "_v").alias("_x"), F.explode(place).alias("_cell"))
+            against(filled)
             .groupBy("_d", "_b", "_cell")
-            .agg(
-                F.sum("_s").alias("_c"),
-                F.bit_xor("_k").alias("_k"),
-                F.bit_xor("_v").alias("_v"),
-                F.bit_xor("_x").alias("_x"),
-            )
+            .agg(F.sum(F.col("_c") * F.col("_s")).alias("_c"), *xors.values())
             .where("_c <> 0 OR _k <> 0 OR _v <> 0 OR _x <> 0")
         )
+        if todo is not None:
+            table = table.join(todo, ["_d", "_b"], "left_semi")
         peeled = table.groupBy("_d", "_b").applyInPandas(
             _peeler(salt, size), "_d int, _b bigint, _k bigint, _v bigint, _s bigint, _done boolean"
         )
@@ -222,7 +231,9 @@ def snapshot_changes(
     if todo is not None:
         rest = against(pairs).join(todo, ["_d", "_b"], "left_semi")
         found = found.union(rest.groupBy("_d", "_k", "_v").agg(F.sum("_s").alias("_s")).where("_s <> 0").select("_d", "_k"))
-    found = found.distinct()
+    found = cut_lineage(found.distinct())
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     # The kind comes from the records themselves.
     sides = against(numbered.drop(snapshot)).join(found, ["_d", "_k"], "left_semi")
     # Of the distinct values of both sides equal ones cancel in the digest, so
