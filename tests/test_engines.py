@@ -162,55 +162,70 @@ def test_day_trades_by_hand(spark, sessions):
     assert abs(r.gross - 0.1) < 1e-12 and abs(r.net - (0.1 - 0.001 * 2.1)) < 1e-12 and abs(r.pnl - 5 * r.net) < 1e-12
 
 
-def loop(prices, targets, days, cost):
+def loop(prices, opens, targets, days, cost):
     """Units and cash, one session after the other."""
     units, cash, equity, out = {}, 1.0, 1.0, []
     last = {s: max(p) for s, p in prices.items()}
     mark = {}
     for d in days:
+        old = dict(mark)
         for s, p in prices.items():
             if d in p:
                 mark[s] = p[d]
         for s in list(units):
             if d > last[s]:
                 cash += units.pop(s) * mark[s]
-        value = cash + sum(u * mark[s] for s, u in units.items())
         paid = 0.0
         if d in targets:
+            at = {s: opens[s].get(d, old.get(s)) for s in prices} if opens else mark
+            value = cash + sum(u * at[s] for s, u in units.items())
             want = {s: w for s, w in targets[d].items() if d <= last[s]}
-            turnover = sum(abs(want.get(s, 0) - units.get(s, 0) * mark.get(s, 0) / value) for s in set(want) | set(units))
-            paid = cost * turnover * value
-            units = {s: w * value / mark[s] for s, w in want.items()}
+            paid = cost * sum(abs(want.get(s, 0) - units.get(s, 0) * at[s] / value) for s in set(want) | set(units)) * value
+            units = {s: w * value / at[s] for s, w in want.items()}
             cash = value * (1 - sum(want.values())) - paid
-            value -= paid
-        out.append((value, value / equity - 1, paid / equity))
+        value = cash + sum(u * mark[s] for s, u in units.items())
+        out.append((value, value / equity - 1, paid / equity, sum(abs(u * mark[s]) for s, u in units.items()) / value))
         equity = value
     return out
 
 
-def test_simulated_weights_equal_a_loop(spark, sessions):
+@pytest.mark.parametrize("execution", ["close", "open"])
+def test_simulated_weights_equal_a_loop(spark, sessions, execution):
     rng = random.Random(9)
-    prices = {}
+    prices, opens = {}, {}
     for s in "abcd":
         p = 20.0
-        prices[s] = {}
+        prices[s], opens[s] = {}, {}
         for i in range(40 if s != "d" else 25):
             p *= 1 + rng.gauss(0, 0.03)
             if rng.random() > 0.1 or i < 3:
                 prices[s][i] = p
+                if rng.random() > 0.1:
+                    opens[s][i] = p * (1 + rng.gauss(0, 0.01))
     decisions = {2: {"a": 0.5, "b": 0.4}, 9: {"b": 0.3, "c": -0.2, "d": 0.6}, 20: {"a": 0.25, "b": 0.25, "c": 0.25, "d": 0.25}, 30: {"a": 1.0}}
-    bars = spark.createDataFrame([(s, day(i), x) for s, p in prices.items() for i, x in p.items()], "symbol string, session date, close double")
+    bars = spark.createDataFrame(
+        [(s, day(i), x, opens[s].get(i)) for s, p in prices.items() for i, x in p.items()], "symbol string, session date, close double, open double"
+    )
     weights = spark.createDataFrame([("p", day(d), s, w) for d, t in decisions.items() for s, w in t.items()], "portfolio string, decision date, symbol string, weight double")
-    got = backtest.simulate_weights(bars, weights, sessions, cost_bps=15).orderBy("session").collect()
+    got = backtest.simulate_weights(bars, weights, sessions, cost_bps=15, execution=execution).orderBy("session").collect()
     days = [(r.session - D).days for r in got]
-    want = loop(prices, {d + 1: t for d, t in decisions.items()}, days, 0.0015)
+    want = loop(prices, opens if execution == "open" else None, {d + 1: t for d, t in decisions.items()}, days, 0.0015)
     assert days[0] == 2
-    for r, (e, x, c) in zip(got, want, strict=True):
-        assert abs(r.equity - e) < 1e-12 and abs(r.r - x) < 1e-12 and abs(r.cost - c) < 1e-12
+    for r, (e, x, c, g) in zip(got, want, strict=True):
+        assert abs(r.equity - e) < 1e-12 and abs(r.r - x) < 1e-12 and abs(r.cost - c) < 1e-12 and abs(r.gross - g) < 1e-12
     early = spark.createDataFrame([("p", day(0), "late", 1.0)], weights.schema)
-    late = bars.union(spark.createDataFrame([("late", day(9), 1.0)], bars.schema))
+    late = bars.union(spark.createDataFrame([("late", day(9), 1.0, 1.0)], bars.schema))
     with pytest.raises(Exception, match="before a first price"):
         backtest.simulate_weights(late, early, sessions).collect()
+    with pytest.raises(ValueError):
+        backtest.simulate_weights(bars, weights, sessions, execution="noon")
+
+
+def test_nearest_events(spark):
+    left = spark.createDataFrame([("a", day(10)), ("a", day(50)), ("b", day(1)), ("a", day(100))], "symbol string, last_session date")
+    events = spark.createDataFrame([("a", day(8), "x"), ("a", day(12), "y"), ("a", day(40), "z"), ("a", day(40), "w")], "symbol string, day date, event string")
+    got = {(r.symbol, r.last_session): r.event for r in universe.with_nearest_event(left, events).collect()}
+    assert got == {("a", day(10)): "y", ("a", day(50)): "w", ("b", day(1)): None, ("a", day(100)): None}
 
 
 def test_walk_forward_errors(sessions):

@@ -68,79 +68,90 @@ def day_trades(bars: DataFrame, orders: DataFrame, sessions: DataFrame, cost_bps
     )
 
 
-def simulate_weights(bars: DataFrame, weights: DataFrame, sessions: DataFrame, by: str = "portfolio", cost_bps: float = 0.0) -> DataFrame:
-    """``portfolio, session, equity, r, cost``: target weights held with drift.
+def simulate_weights(bars: DataFrame, weights: DataFrame, sessions: DataFrame, by: str = "portfolio", cost_bps: float = 0.0, execution: str = "close") -> DataFrame:
+    """``portfolio, session, equity, r, cost, gross, net``: target weights held with drift.
 
     ``weights``: ``portfolio, decision, symbol, weight``; a decision is
-    executed at the close of the next session, and positions drift until the
-    next one. A symbol without a price that day trades at its last close; one
-    past its last bar is paid out at its last close, free, and may not be a
-    target again; a target before the first price is an error. Costs are
-    ``cost_bps`` of the traded share of equity.
+    executed at the close of the next session (or, with ``execution="open"``,
+    at its open, so that the way from the close before to the open belongs to
+    the old positions), and positions drift until the next one. A symbol
+    without a price then trades at its last close; one past its last bar is
+    paid out at its last close, free, and may not be a target again; a target
+    before the first price is an error. Costs are ``cost_bps`` of the traded
+    share of equity; ``gross`` and ``net`` are the exposures at the close.
 
     Prices per (portfolio, symbol) are filled by a window in the JVM; only the
     recursion over rebalances runs in Python, one portfolio at a time, on
     arrays of its own sessions and symbols.
     """
+    if execution not in ("close", "open"):
+        raise ValueError(f"execution is at the close or the open, not {execution!r}")
     held = weights.select(by, "symbol").distinct()
     start = sessions.select(F.col("session").alias("_from"), F.col("pos").alias("_fp"))
     span = weights.groupBy(by).agg(F.min("decision").alias("_from")).join(start, "_from")
-    prices = bars.select("session", "symbol", "close").where("close IS NOT NULL").join(sessions, "session")
+    prices = bars.select("session", "symbol", "close", (F.col("open") if execution == "open" else F.lit(None).cast("double")).alias("open")).where("close IS NOT NULL").join(sessions, "session")
     life = prices.groupBy("symbol").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     # What is before the first decision comes down to one mark on its day.
     marks = (
         held.join(prices, "symbol")
         .join(span, by)
         .groupBy(by, "symbol", F.greatest("pos", "_fp").cast("int").alias("pos"), F.greatest("session", "_from").alias("session"))
-        .agg(F.max_by("close", "pos").alias("close"))
+        .agg(F.max_by("close", "pos").alias("close"), F.max_by("open", "pos").alias("open"))
         .join(life, "symbol")
         .select(
-            by, "symbol", "pos", "session", "close", F.col("first").cast("int"), F.col("last").cast("int"),
+            by, "symbol", "pos", "session", "close", "open", F.col("first").cast("int"), F.col("last").cast("int"),
             F.lit(None).cast("double").alias("weight"),
         )
     )
     day = sessions.select(F.col("session").alias("decision"), (F.col("pos") + 1).alias("pos"))
     targets = weights.join(day, "decision").join(sessions, "pos").join(life, "symbol").select(
-        by, "symbol", F.col("pos").cast("int").alias("pos"), "session", F.lit(None).cast("double").alias("close"), F.col("first").cast("int"), F.col("last").cast("int"), F.coalesce("weight", F.lit(0.0)).alias("weight")
+        by, "symbol", F.col("pos").cast("int").alias("pos"), "session", *(F.lit(None).cast("double").alias(c) for c in ("close", "open")), F.col("first").cast("int"), F.col("last").cast("int"), F.coalesce("weight", F.lit(0.0)).alias("weight")
     )
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return _one_portfolio(rows, by, cost_bps)
 
-    schema = f"{by} string, session date, equity double, r double, cost double"
+    schema = f"{by} string, session date, equity double, r double, cost double, gross double, net double"
     return marks.unionByName(targets).groupBy(by).applyInPandas(run, schema)
 
 
 def _one_portfolio(rows: pd.DataFrame, by: str, cost_bps: float) -> pd.DataFrame:
     name = rows[by].iloc[0]
     targets = rows[rows.weight.notna()]
-    grid = rows[rows.weight.isna()].pivot_table(index="pos", columns="symbol", values="close", aggfunc="last")
+    bars = rows[rows.weight.isna()]
+    grid = bars.pivot_table(index="pos", columns="symbol", values="close", aggfunc="last")
     days = rows.drop_duplicates("pos").set_index("pos").session.sort_index()
     mark = grid.reindex(days.index).ffill()
     symbols = list(mark.columns)
     last = rows.groupby("symbol")["last"].first().reindex(symbols).to_numpy()
-    price = mark.to_numpy(dtype=float)
+    close = mark.to_numpy(dtype=float)
+    # A trade is at the open if there is one, else at the last close before it.
+    opens = bars.dropna(subset=["open"])
+    if len(opens):
+        given = opens.pivot_table(index="pos", columns="symbol", values="open", aggfunc="last")
+        trade = given.reindex(index=days.index, columns=symbols).fillna(mark.shift(1)).to_numpy(dtype=float)
+    else:
+        trade = close
     plan = {p: t.groupby("symbol").weight.sum().reindex(symbols).fillna(0.0).to_numpy() for p, t in targets.groupby("pos")}
     units, cash, equity = np.zeros(len(symbols)), 1.0, 1.0
     out = []
     for i, pos in enumerate(days.index):
-        p = np.nan_to_num(price[i])
         gone = last < pos
-        cash += float((units * p * gone).sum())
-        units = np.where(gone, 0.0, units)
-        value, cost = cash + float((units * p).sum()), 0.0
+        cash += float((units * np.nan_to_num(close[i]) * gone).sum())
+        units, cost = np.where(gone, 0.0, units), 0.0
         if pos in plan:
-            want = np.where(gone, 0.0, plan[pos])
-            if ((want != 0) & np.isnan(price[i])).any():
+            p, want = np.nan_to_num(trade[i]), np.where(gone, 0.0, plan[pos])
+            if ((want != 0) & np.isnan(trade[i])).any():
                 raise ValueError(f"{name} has a target before a first price at {days.iloc[i]}")
-            have = units * p / value
-            cost = cost_bps / 10_000 * float(np.abs(want - have).sum()) * value
+            value = cash + float((units * p).sum())
+            cost = cost_bps / 10_000 * float(np.abs(want - units * p / value).sum()) * value
             units = np.divide(want * value, p, out=np.zeros(len(p)), where=want != 0)
             cash = value - float((units * p).sum()) - cost
-            value -= cost
-        out.append((name, days.iloc[i], value, value / equity - 1, cost / equity))
+        worth = units * np.nan_to_num(close[i])
+        value = cash + float(worth.sum())
+        out.append((name, days.iloc[i], value, value / equity - 1, cost / equity, float(np.abs(worth).sum()) / value, float(worth.sum()) / value))
         equity = value
-    return pd.DataFrame(out, columns=[by, "session", "equity", "r", "cost"])
+    return pd.DataFrame(out, columns=[by, "session", "equity", "r", "cost", "gross", "net"])
 
 
 def walk_forward(sessions: DataFrame, start: str, end: str, train_months: int, test_months: int, step_months: int | None = None, expanding: bool = False) -> DataFrame:

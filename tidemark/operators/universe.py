@@ -164,3 +164,21 @@ def resolved(members: DataFrame, spans: DataFrame, label: str, at: str, entity:
     sole = met.groupBy(label, at).agg(F.min("_e").alias("_least"), F.max("_e").alias("_most"))
     sole = sole.select(label, at, F.when(F.col("_least") == F.col("_most"), F.col("_least")).alias(entity))
     return members.join(sole, [label, at], "left")
+
+
+def with_nearest_event(left: DataFrame, events: DataFrame, at: str = "last_session", day: str = "day", event: str = "event", within: int = 31) -> DataFrame:
+    """``left`` (symbol, day) with the event of its symbol nearest in time.
+
+    The one before and the one after are two as-of matches; the nearer counts,
+    the later on a tie, if it is at most ``within`` days off. Of events of one
+    day the smallest counts.
+    """
+    from tidemark.operators.joins import asof
+
+    one = events.groupBy("symbol", day).agg(F.min(event).alias(event))
+    before = one.select("symbol", F.col(day).alias("_d0"), F.col(day).alias("_b"), F.col(event).alias("_eb"))
+    after = one.select("symbol", F.col(day).alias("_d1"), F.col(day).alias("_a"), F.col(event).alias("_ea"))
+    met = asof(left, before, "symbol", (at, "_d0"), ["_b", "_eb"], within_days=within)
+    met = asof(met, after, "symbol", (at, "_d1"), ["_a", "_ea"], direction="forward", within_days=within)
+    later = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.datediff("_a", at) <= F.datediff(at, "_b")))
+    return met.withColumn(event, F.when(later, F.col("_ea")).otherwise(F.col("_eb"))).drop("_a", "_b", "_ea", "_eb")
