@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 
 def equal_weight(members: DataFrame) -> DataFrame:
     """``session, symbol, weight``: one over the number of members."""
@@ -86,6 +88,7 @@ def simulate_weights(bars: DataFrame, weights: DataFrame, sessions: DataFrame, b
     """
     if execution not in ("close", "open"):
         raise ValueError(f"execution is at the close or the open, not {execution!r}")
+    ship(bars.sparkSession)
     held = weights.select(by, "symbol").distinct()
     start = sessions.select(F.col("session").alias("_from"), F.col("pos").alias("_fp"))
     span = weights.groupBy(by).agg(F.min("decision").alias("_from")).join(start, "_from")

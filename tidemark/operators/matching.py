@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 
 def match_by_ratio(
     events: DataFrame,
@@ -64,6 +66,7 @@ def confirmations(best: DataFrame, other: DataFrame, by: Sequence[str], record:
     ``best_id`` where it conflicts. Greedy matching depends on its own past,
     so each (small) group is one call.
     """
+    ship(best.sparkSession)
     names = list(by)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in best.select(*names).schema) + ", best_id string, other_id string"
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, written
+from tidemark.session import cut_lineage, ship, written
 
 #: Cells a record goes into.
 HASHES = 3
@@ -142,6 +142,7 @@ def snapshot_changes(
     """
     key, values = list(key), list(values)
     spark = df.sparkSession
+    ship(spark)
     rows = df.where(F.col(snapshot).isNotNull()).select(snapshot, *dict.fromkeys(key + values))
     per_snapshot = rows.groupBy(snapshot).count().orderBy(snapshot).collect()
     numbers = spark.createDataFrame(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +61,24 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidemark-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package, wherever they run.
+
+    The package goes to the executors with Spark's own files, once for each
+    application; called before a Python function is handed to Spark.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tidemark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    files = sorted(package.rglob("*.py"))
+    if files:
+        digest = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:12]
+        path = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / f"tidemark-{digest}.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for f in files:
+                archive.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(path))
+    sc._tidemark_shipped = True

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 
 class FormatError(ValueError):
     """A file breaks the layout its reader relies on."""
@@ -29,6 +31,7 @@ def zipped_lines(spark: SparkSession, paths: Sequence[str], member: str = ".*",
     """
     if not paths:
         return spark.createDataFrame([], "file string, member string, line_no bigint, line string")
+    ship(spark)
     pattern = re.compile(member, re.IGNORECASE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

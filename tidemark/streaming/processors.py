@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.kernels import cs_rank
+from tidemark.session import ship
 from tidemark.streaming.states import State
 
 
@@ -22,6 +23,7 @@ def stream_kernel(stream: DataFrame, make: Callable[[], State], x: str, by: str
     leaves the state unchanged. The state of a symbol is a short text in the
     state store, so it survives the loss of an executor.
     """
+    ship(stream.sparkSession)
     rows = stream.select(F.col(by).cast("string").alias(by), F.col(at).cast("timestamp").alias(at), F.col(x).cast("double").alias(x))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
