@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, ship
 
 #: Edges that a task holds at a time; further ones form another local graph.
 EDGES_AT_ONCE = 1_000_000
@@ -94,6 +94,7 @@ def components(
     of narrow rows and is checkpointed (AQE splits the join where one parent
     has a large share of all vertices); only counts reach the driver.
     """
+    ship(pairs.sparkSession)
     edges = (
         pairs.select(F.col(left).cast("string").alias("u"), F.col(right).cast("string").alias("v"))
         .where("u IS NOT NULL AND v IS NOT NULL AND u <> v")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokenizer import IDS_AT_ONCE, as_text, encode_text, encoding, list_array, vocabulary_path
-from tidemark.session import written
+from tidemark.session import ship, written
 
 #: Tail groups: the short ends that this many input splits leave of a source
 #: are packed together.
@@ -225,6 +225,7 @@ def packed_blocks(
     together in groups of ``SPLITS_A_TAIL`` splits. A block shorter than
     ``block_tokens`` is left per source and such group. No token is lost.
     """
+    ship(df.sparkSession)
     path = vocabulary or vocabulary_path()
     rows = df.select(F.col(source).cast("string"), F.col(text).cast("binary").alias("_t")).where(
         F.col(source).isNotNull() & (F.octet_length("_t") > 0)
@@ -322,6 +323,7 @@ def _planned(df, source, text, targets, block_tokens, shard_blocks, total_tokens
 
 def _placed(blocks: DataFrame, mixture: Mixture) -> DataFrame:
     spark = blocks.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(mixture)
 
     most = max(1, int(mixture.epochs().max(initial=0)))

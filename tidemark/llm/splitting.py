@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.tokenizer import as_text, encode_text, encoding, vocabulary_path
+from tidemark.session import ship
 
 #: Strengths of the places a piece may end at.
 PARAGRAPH, LINE, SENTENCE, WORD, CHARACTER = 4, 3, 2, 1, 0
@@ -183,6 +184,7 @@ def split_documents(
     limit, since a token has a byte or more, and are not encoded. There is no
     shuffle; memory is that of one text and its ids.
     """
+    ship(df.sparkSession)
     path = vocabulary or vocabulary_path()
     fields = [df.schema[id_column]] + [
         T.StructField(n, T.LongType()) for n in ("start_byte", "fresh_byte", "end_byte")

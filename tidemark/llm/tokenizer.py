@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import ship
+
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -116,6 +118,7 @@ def encode_documents(
     Python worker loads once. The result follows the input's partitions; there
     is no shuffle, and texts of any length are encoded in bounded portions.
     """
+    ship(df.sparkSession)
     path = vocabulary or vocabulary_path()
     schema = T.StructType([df.schema[id_column], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -135,6 +138,7 @@ def encode_documents(
 
 def decode_documents(df: DataFrame, id_column: str, ids_column: str, *, vocabulary: str | None = None) -> DataFrame:
     """``id_column, raw``: the bytes of each row's ids; null ids give null."""
+    ship(df.sparkSession)
     path = vocabulary or vocabulary_path()
     schema = T.StructType([df.schema[id_column], T.StructField("raw", T.BinaryType())])
 
