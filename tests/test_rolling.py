@@ -58,3 +58,36 @@ def test_latest_delivery_counts(spark):
     df = spark.createDataFrame(rows, "e string, d date, part int, v double, r timestamp")
     got = {r.e: r.v for r in daily_totals(df, "e", "d", "part", "v", "r").collect()}
     assert got == {"a": 7.0 + 1.0 + 0.0 + 3.0, "b": 0.0}
+
+
+def test_series_run_on_to_the_last_position(spark):
+    df = spark.createDataFrame([("a", 3, 2.0), ("a", 5, 4.0), ("b", 11, 1.0)], "e string, p int, v double")
+    got = {(r.e, r.p): (r.v, r.sum_7) for r in trailing(df, "e", "p", "v", (7,), last=10).collect()}
+    assert set(got) == {("a", p) for p in range(3, 11)} | {("b", 11)}
+    assert [got["a", p][1] for p in range(3, 11)] == [2, 2, 6, 6, 6, 6, 6, 4]
+    assert all(got["a", p][0] == 0 for p in range(6, 11)) and got["b", 11] == (1, 1)
+
+
+def test_p2_reaches_the_end_of_the_calendar(spark, tmp_path):
+    from tidemark.plans import problems
+
+    days = [dt.date(2023, 1, 2) + dt.timedelta(days=i) for i in range(60)]
+    late = dt.datetime(2023, 6, 1)
+    tables = {
+        "trading_sessions": ([(d, i) for i, d in enumerate(days)], "session_date date, session_no bigint"),
+        "liquidity_settings": ([(1, "x", 1, 0.5, days[-1])], "setting_id int, index_name string, lookback_months int, min_presence double, base_session date"),
+        "traded_values": (
+            [(days[2], "A", 1, 30.0, True, late), (days[4], "A", 1, 60.0, True, late), (days[59], "B", 1, 7.0, True, late)],
+            "session_date date, security_id string, block_no int, traded_value double, eligible boolean, received_at timestamp",
+        ),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rolling = {(r.security_id, r.session_date): r for r in problems.p2_rolling(spark, str(tmp_path)).collect()}
+    presence = {(r.security_id, r.session_date): r for r in problems.p2_presence(spark, str(tmp_path)).collect()}
+    assert set(rolling) == set(presence) == {("A", d.isoformat()) for d in days[2:]} | {("B", days[59].isoformat())}
+    at = lambda i: rolling["A", days[i].isoformat()]
+    assert (at(4).sum_7, at(4).sum_30) == (90, 90) and (at(31).sum_7, at(31).sum_30) == (0, 90)
+    assert (at(33).sum_30, at(34).sum_30, at(59).traded_value) == (60, 0, 0)
+    assert presence["A", days[20].isoformat()].presence_1m == round(2 / 21, 8)
+    assert presence["A", days[59].isoformat()].presence_1m == 0

@@ -30,13 +30,14 @@ def daily_totals(
     ).select(F.col("_e").alias(entity), F.col("_d").alias(day), F.col("_v").alias(value))
 
 
-def dense_series(days: DataFrame, entity: str, position: str, value: str) -> DataFrame:
+def dense_series(days: DataFrame, entity: str, position: str, value: str, last: int | None = None) -> DataFrame:
     """One row per entity: ``entity, first_pos, series``.
 
     ``series[i]`` is the value at position ``first_pos + i``, zero where the
-    entity has no row; it ends at the entity's last position. An entity's
-    array is bounded by the number of calendar positions, whatever the number
-    of rows behind it.
+    entity has no row; it ends at position ``last``, or at the entity's last
+    row where that is later or no ``last`` is given. An entity's array is
+    bounded by the number of calendar positions, whatever the number of rows
+    behind it.
     """
     packed = days.groupBy(entity).agg(
         F.sort_array(
@@ -50,7 +51,11 @@ def dense_series(days: DataFrame, entity: str, position: str, value: str) -> Dat
             F.array(F.coalesce(x.v, F.lit(0.0))),
         ),
     )
-    return packed.select(entity, F.col("_x")[0].p.alias("first_pos"), F.flatten(filled).alias("series"))
+    series = F.flatten(filled)
+    if last is not None:
+        missing = F.greatest(F.lit(last) - F.element_at("_x", -1).p, F.lit(0))
+        series = F.concat(series, F.array_repeat(F.lit(0.0), missing))
+    return packed.select(entity, F.col("_x")[0].p.alias("first_pos"), series.alias("series"))
 
 
 def shifted(series: Column, by: int) -> Column:
@@ -102,14 +107,20 @@ def sum_at(prefix: str, levels: int, end: Column, length: Column) -> Column:
 
 
 def trailing(
-    days: DataFrame, entity: str, position: str, value: str, windows: Sequence[int] = (7, 30)
+    days: DataFrame,
+    entity: str,
+    position: str,
+    value: str,
+    windows: Sequence[int] = (7, 30),
+    last: int | None = None,
 ) -> DataFrame:
     """Total and mean of the last ``windows`` positions, for every position.
 
     Result: ``entity, position, value`` and for each window ``sum_{w}`` and
-    ``mean_{w}``; every position from the entity's first to its last row,
-    those without a row as zero. Positions before the first count as zero,
-    so a mean divides by the whole window. Rows without entity or position
+    ``mean_{w}``; every position from the entity's first row to ``last`` (its
+    last row where that is later or no ``last`` is given), those without a row
+    as zero. Positions before the first count as zero, so a mean divides by
+    the whole window. Rows without entity or position
     are left out; a null value is zero; an empty table gives no rows. There
     must be one row per (entity, position).
 
@@ -120,7 +131,7 @@ def trailing(
     """
     levels = max(windows).bit_length() - 1
     rows = days.where(F.col(entity).isNotNull() & F.col(position).isNotNull())
-    wide = with_doubling(dense_series(rows, entity, position, value), "series", levels, "_d")
+    wide = with_doubling(dense_series(rows, entity, position, value, last), "series", levels, "_d")
     wide = wide.withColumns({f"_w{w}": window_sum("_d", w) for w in windows})
     long = wide.select(
         entity,

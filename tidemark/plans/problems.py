@@ -122,9 +122,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals and means over 7 and 30 sessions for every security and session."""
-    _, calendar = _calendar(spark, sf_dir)
-    totals = trailing(_traded_days(spark, sf_dir, calendar), "security_id", "pos", "traded_value", (7, 30))
+    """Totals and means over 7 and 30 sessions for every security and session.
+
+    A security's sessions run from its first row to the end of the calendar.
+    """
+    sessions, calendar = _calendar(spark, sf_dir)
+    days = _traded_days(spark, sf_dir, calendar)
+    totals = trailing(days, "security_id", "pos", "traded_value", (7, 30), last=len(sessions) - 1)
     return totals.join(F.broadcast(calendar), "pos").select(
         "security_id",
         iso("session_date").alias("session_date"),
@@ -134,7 +138,7 @@ def p2_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Presence over each lookback for every security and session."""
+    """Presence over each lookback for every security and session, as in p2_rolling."""
     sessions, calendar = _calendar(spark, sf_dir)
     months = sorted({s["lookback_months"] for s in _settings(spark, sf_dir, sessions)})
     starts = calendar.select(
@@ -144,7 +148,8 @@ def p2_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in starts.collect():
         for m in months:
             lengths[m].append(r["pos"] - (bisect_right(sessions, r[f"m{m}"]) - 1))
-    dense = dense_series(_traded_days(spark, sf_dir, calendar), "security_id", "pos", "traded_value")
+    days = _traded_days(spark, sf_dir, calendar)
+    dense = dense_series(days, "security_id", "pos", "traded_value", last=len(sessions) - 1)
     dense = dense.withColumn("_one", F.transform("series", lambda x: F.when(x > 0, 1.0).otherwise(0.0)))
     levels = max(1, max((max(x, default=1) for x in lengths.values()), default=1)).bit_length() - 1
     dense = with_doubling(dense, "_one", levels, "_p")
