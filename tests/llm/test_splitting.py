@@ -76,3 +76,14 @@ def test_documents(spark):
     assert S.split_documents(df.limit(0), "id", "text").collect() == []
     with pytest.raises(ValueError):
         S.Splitter(PATH, 100, 60)
+
+
+def test_an_early_boundary_is_taken_where_there_is_no_other():
+    splitter = S.Splitter(PATH, 1024, 64)
+    head, stretch = "A short heading\n", "x1y2" * 1500
+    pieces = splitter.split(head + stretch)
+    assert (pieces[0].end, pieces[0].boundary) == (len(head), S.LINE)
+    # The same after a cut within a text: the last sentence before a stretch.
+    body = "One more sentence of a text. " * 200 + "\n"
+    first = splitter.split(body + head + stretch)
+    assert len(head + body) in [p.end for p in first if p.boundary == S.LINE]

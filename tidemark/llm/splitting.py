@@ -119,8 +119,8 @@ class Splitter:
         The target gives the ``left`` pieces still needed equal lengths. The
         strongest boundary near it wins, the nearest of equally strong ones;
         then the nearest natural one that leaves the others enough room, then
-        the last one at all (which takes a piece more), then a blank, then a
-        character.
+        the last one at all (which takes a piece more; one in the first eighth
+        only if there is none beyond), then a blank, then a character.
         """
         high = min(first + most, n - 1)
         target = first + -(-(n - first + (left - 1) * self.overlap) // left)
@@ -140,9 +140,9 @@ class Splitter:
                 else:
                     best = 0
                 return int(at[window][best]), int(strength[best])
-        window = between(shortest, high)
-        if window.start < window.stop:
-            return int(at[window.stop - 1]), int(kind[window.stop - 1])
+        for window in (between(shortest, high), between(cut + 1, min(shortest - 1, high))):
+            if window.start < window.stop:
+                return int(at[window.stop - 1]), int(kind[window.stop - 1])
         top, bottom = int(ends[target - 1]), int(ends[min(shortest, target - 1)])
         blanks = [m.start() for m in _BLANK.finditer(raw, bottom, top) if m.start() > bottom]
         if blanks:
