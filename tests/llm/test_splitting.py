@@ -87,3 +87,13 @@ def test_an_early_boundary_is_taken_where_there_is_no_other():
     body = "One more sentence of a text. " * 200 + "\n"
     first = splitter.split(body + head + stretch)
     assert len(head + body) in [p.end for p in first if p.boundary == S.LINE]
+
+
+def test_a_blank_beyond_the_target_is_taken_before_a_word_is_cut():
+    splitter = S.Splitter(PATH, 1024, 64)
+    for blank_at in (800, 20):  # tokens; the target is about 580
+        head = ENC.decode(encode_text(ENC, "x1y2" * 400)[:blank_at])
+        text = head + " " + "z3w4" * 600
+        text = ENC.decode(encode_text(ENC, text)[:1100])
+        first = splitter.split(text)[0]
+        assert (first.end, first.boundary) == (len(head), S.WORD)

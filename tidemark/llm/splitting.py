@@ -120,7 +120,8 @@ class Splitter:
         strongest boundary near it wins, the nearest of equally strong ones;
         then the nearest natural one that leaves the others enough room, then
         the last one at all (which takes a piece more; one in the first eighth
-        only if there is none beyond), then a blank, then a character.
+        only if there is none beyond), then a blank before the target, or else
+        after it, or else in the first eighth, then a character.
         """
         high = min(first + most, n - 1)
         target = first + -(-(n - first + (left - 1) * self.overlap) // left)
@@ -144,10 +145,15 @@ class Splitter:
             if window.start < window.stop:
                 return int(at[window.stop - 1]), int(kind[window.stop - 1])
         top, bottom = int(ends[target - 1]), int(ends[min(shortest, target - 1)])
-        blanks = [m.start() for m in _BLANK.finditer(raw, bottom, top) if m.start() > bottom]
-        if blanks:
-            return blanks[-1], WORD
-        while top > int(ends[cut - 1] if cut else 0) + 1 and top < len(raw) and raw[top] & 0xC0 == 0x80:
+        fresh = int(ends[cut - 1]) if cut else 0
+        blanks = [b for m in _BLANK.finditer(raw, fresh, int(ends[high - 1]) + 1) if (b := m.start()) > fresh]
+        # The last one before the target, the first one after it, an early one.
+        before, after = [b for b in blanks if b <= top], [b for b in blanks if b > top]
+        if before and (before[-1] > bottom or not after):
+            return before[-1], WORD
+        if after:
+            return after[0], WORD
+        while top > fresh + 1 and top < len(raw) and raw[top] & 0xC0 == 0x80:
             top -= 1
         return top, CHARACTER
 
