@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
 from tidemark.operators import calendar as C
+from tidemark.operators.panel import Panel
 from tidemark.operators.slices import in_slices
 from tidemark.plans import market as M
 
@@ -115,6 +116,17 @@ def panel_fingerprint_input(spark, sf_dir):
     return _aligned(spark, sf_dir).agg(F.count("*").alias("n"), F.count("close").alias("seen"))
 
 
+def panel_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of all aligned bars; sums of prices count to the cent, whatever their order."""
+    rows = _aligned(spark, sf_dir)
+    if "traded_value" in rows.columns:
+        rows = rows.withColumn("traded_value", F.round("traded_value", 2))
+    return spark.createDataFrame([(Panel.from_bars(rows).fingerprint(),)], "fingerprint string")
+
+
+QUERIES["panel_fingerprint"] = panel_fingerprint
+
+
 def _kernel(name: str, value: Callable[[], Column], sql: str, on_returns: bool = False) -> None:
     """A kernel of the close (or its log return) on the aligned bars."""
 
