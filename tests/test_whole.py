@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.plans import kernels
+from tidemark.operators.calendar import sessions_of
+from tidemark.plans import analytics, kernels
+from tidemark.plans import market as M
 
 
 def test_panel_fingerprint_covers_every_cell(spark, sf, monkeypatch):
@@ -19,3 +21,18 @@ def test_panel_fingerprint_covers_every_cell(spark, sf, monkeypatch):
     assert kernels.panel_fingerprint(spark, sf).first() == found[0]
     monkeypatch.setattr(kernels, "_aligned", bent)
     assert kernels.panel_fingerprint(spark, sf).first() != found[0]
+
+
+def test_trade_timing_takes_every_bar(spark, sf):
+    daily = M.bars(spark, sf)
+    rows, n = daily.select("symbol", "session").collect(), daily.select("session").distinct().count()
+    pos = {r.session: r.pos for r in sessions_of(daily, "session").collect()}
+    held = {}
+    for r in rows:
+        held.setdefault(r.symbol, []).append((pos[r.session], min(pos[r.session] + pos[r.session] % 4, n - 1)))
+    got = {r.series: r for r in analytics.trade_timing(spark, sf).collect()}
+    assert set(got) == set(held)
+    for k, spans in held.items():
+        covered = {p for a, z in spans for p in range(a, z + 1)}
+        want = (len(spans) / n, len(covered) / n, sum(z - a + 1 for a, z in spans) / len(spans))
+        assert all(abs(x - y) < 1e-7 for x, y in zip((got[k].trade_frequency, got[k].exposure, got[k].average_holding_period), want))

@@ -242,11 +242,11 @@ SELECT series, round(k / (SELECT count(*) FROM cal), 8) AS trade_frequency, roun
   round(h, 8) AS average_holding_period FROM t JOIN cov USING (series)""",
 )
 def trade_timing(spark, sf_dir):
-    """Positions opened at every fifth session and held for up to three more."""
+    """Positions opened on every bar and held for up to three more sessions."""
     daily = M.bars(spark, sf_dir)
     sessions = sessions_of(daily, "session")
     last = F.max("pos").over(Window.partitionBy(F.lit(1)))
     ends = sessions.select(F.col("session").alias("entry"), "pos", F.least(F.col("pos") + F.col("pos") % 4, last).alias("_z"))
-    ends = ends.where("pos % 5 = 0").join(sessions.select(F.col("session").alias("exit"), F.col("pos").alias("_z")), "_z")
+    ends = ends.join(sessions.select(F.col("session").alias("exit"), F.col("pos").alias("_z")), "_z")
     held = daily.select(F.col("symbol").alias("series"), F.col("session").alias("entry")).join(ends.select("entry", "exit"), "entry")
     return _rounded(A.trade_timing(held, sessions))
