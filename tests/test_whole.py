@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators.calendar import sessions_of
-from tidemark.plans import analytics, kernels
+from tidemark.plans import analytics, domain, kernels, lineage
 from tidemark.plans import market as M
 
 
@@ -36,3 +36,13 @@ def test_trade_timing_takes_every_bar(spark, sf):
         covered = {p for a, z in spans for p in range(a, z + 1)}
         want = (len(spans) / n, len(covered) / n, sum(z - a + 1 for a, z in spans) / len(spans))
         assert all(abs(x - y) < 1e-7 for x, y in zip((got[k].trade_frequency, got[k].exposure, got[k].average_holding_period), want))
+
+
+def test_walk_forward_reaches_over_the_calendar(spark, sf):
+    days = sorted(r.session for r in M.bars(spark, sf).select("session").distinct().collect())
+    windows = sorted(domain.wf_schedule(spark, sf).collect(), key=lambda r: r.window)
+    assert windows[0].train_start == days[0] and windows[-1].test_end == days[-1]
+    tested = [d for w in windows for d in days if w.test_start <= d <= w.test_end]
+    begin = 12 * days[0].year + days[0].month + 6
+    assert tested == [d for d in days if 12 * d.year + d.month >= begin]
+    assert {r.window for r in lineage.wf_folds(spark, sf).select("window").distinct().collect()} == {w.window for w in windows}

@@ -157,6 +157,14 @@ def _one_portfolio(rows: pd.DataFrame, by: str, cost_bps: float) -> pd.DataFrame
     return pd.DataFrame(out, columns=[by, "session", "equity", "r", "cost", "gross", "net"])
 
 
+def testable_span(sessions: DataFrame, train_months: int) -> tuple[str, str]:
+    """First and last day that can be tested: the training months lie before the first."""
+    first, last = sessions.agg(F.add_months(F.trunc(F.min("session"), "MM"), train_months), F.max("session")).first()
+    if first is None or first > last:
+        raise ValueError(f"no session follows {train_months} months of training")
+    return str(first), str(last)
+
+
 def walk_forward(sessions: DataFrame, start: str, end: str, train_months: int, test_months: int, step_months: int | None = None, expanding: bool = False) -> DataFrame:
     """Windows by months: ``window, train_start, train_end, test_start, test_end, decision_start, decision_end``.
 

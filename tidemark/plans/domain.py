@@ -318,7 +318,7 @@ FROM w JOIN cal ON session >= r0 AND session < t1 GROUP BY t0 HAVING count(*) FI
 )
 def wf_schedule(spark, sf_dir):
     sessions = _market(spark, sf_dir)[1]
-    return backtest.walk_forward(sessions, "1996-01-01", "1997-12-31", 6, 3)
+    return backtest.walk_forward(sessions, *backtest.testable_span(sessions, 6), 6, 3)
 
 
 _ORDERS = """

@@ -206,7 +206,7 @@ FROM f CROSS JOIN life LEFT JOIN p ON p."window" = f."window" AND p.symbol = lif
 def wf_folds(spark, sf_dir):
     daily = M.bars(spark, sf_dir)
     sessions = sessions_of(daily, "session")
-    windows = backtest.walk_forward(sessions, "1996-01-01", "1997-12-31", 6, 3)
+    windows = backtest.walk_forward(sessions, *backtest.testable_span(sessions, 6), 6, 3)
     names = [r[0] for r in windows.select("window").orderBy("window").collect()]
     every = daily.select("symbol").distinct().withColumn("window", F.explode(F.array(*map(F.lit, names))))
     rules = [folds.HasHistory(), folds.StillTrading(), folds.MinimumPresence(0.62)]
