@@ -1,5 +1,7 @@
 """Queries that take the whole of their input."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.operators.calendar import sessions_of
@@ -46,3 +48,21 @@ def test_walk_forward_reaches_over_the_calendar(spark, sf):
     begin = 12 * days[0].year + days[0].month + 6
     assert tested == [d for d in days if 12 * d.year + d.month >= begin]
     assert {r.window for r in lineage.wf_folds(spark, sf).select("window").distinct().collect()} == {w.window for w in windows}
+
+
+def test_relative_metrics_keep_up_capture(spark, sf):
+    rows = {}
+    for r in M.with_benchmark(M.returns(spark, sf)).where("b > 0").collect():
+        rows.setdefault(r.series, []).append((r.r, r.b))
+    got = {r.series: r.up_capture for r in analytics.relative_metrics(spark, sf).collect()}
+    assert set(rows) <= set(got)
+    for k, pairs in rows.items():
+        grown = [math.expm1(math.fsum(math.log1p(p[i]) for p in pairs) * 252 / len(pairs)) for i in (0, 1)]
+        assert got[k] and math.isclose(got[k], grown[0] / grown[1], rel_tol=1e-6)
+
+
+def test_trade_summary_lists_all_outcome_metrics(spark, sf):
+    wide = {r.series: r.asDict() for r in analytics.trade_metrics(spark, sf).collect()}
+    got = {(r.series, r.metric): r.value for r in lineage.trade_summary(spark, sf).collect()}
+    want = {(s, m): v for s, r in wide.items() for m, v in r.items() if m != "series"}
+    assert len(next(iter(wide.values()))) == 17 and got == want

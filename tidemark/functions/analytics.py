@@ -262,7 +262,10 @@ def relative(df: DataFrame, r: str = "r", b: str = "b", by: str = "series", risk
         n = F.count(F.when(side, 1)).cast("double")
 
         def grown(c: str) -> Column:
-            return F.pow(F.product(F.when(side, 1 + F.col(c))), F.try_divide(F.lit(float(periods)), n)) - 1
+            # By logarithms, as a long product leaves the range of doubles.
+            logs = F.sum(F.when(side & (F.col(c) > -1), F.log1p(c)).when(side, F.lit(0.0)))
+            lost = F.max(F.when(side, F.col(c) <= -1))
+            return F.when(lost, F.lit(-1.0)).otherwise(F.expm1(logs * F.try_divide(F.lit(float(periods)), n)))
 
         return F.try_divide(grown(r), grown(b))
 

@@ -174,8 +174,9 @@ SELECT series, round(correlation, 6) AS correlation, round(beta, 6) AS beta, rou
   round(dr / NULLIF(db, 0), 6) AS down_capture, round(ec, 6) AS excess_cagr FROM g""",
 )
 def relative_metrics(spark, sf_dir):
+    found = A.relative(M.with_benchmark(M.returns(spark, sf_dir)))
     # Up-capture compounds extreme test returns beyond any sensible rounding.
-    return _rounded(A.relative(M.with_benchmark(M.returns(spark, sf_dir))).drop("up_capture"), 6)
+    return found.select(*(F.round(c, 6).alias(c) if c not in ("series", "up_capture") else c for c in found.columns))
 
 
 @_query(

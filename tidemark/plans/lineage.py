@@ -224,5 +224,7 @@ _OUT = ("trade_count", "win_rate", "loss_rate", "expectancy", "gross_profit", "g
 SELECT series, metric, round(value, 6) AS value FROM g UNPIVOT (value FOR metric IN ({", ".join(_OUT)}))""",
 )
 def trade_summary(spark, sf_dir):
-    wide = A.trade_metrics(M.trades(spark, sf_dir)).select("series", *(F.col(c).cast("double").alias(c) for c in _OUT))
-    return wide.unpivot("series", list(_OUT), "metric", "value").withColumn("value", F.round("value", 6))
+    found = A.trade_metrics(M.trades(spark, sf_dir))
+    metrics = [c for c in found.columns if c != "series"]
+    wide = found.select("series", *(F.col(c).cast("double").alias(c) for c in metrics))
+    return wide.unpivot("series", metrics, "metric", "value").withColumn("value", F.round("value", 6))
