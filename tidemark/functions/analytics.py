@@ -12,6 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions.contracts import (
+    integer,
+    real,
+    require_observations,
+    require_returns,
+    require_sessions,
+    require_trade_results,
+    require_trades,
+)
 from tidemark.operators.joins import islands
 
 
@@ -59,11 +68,14 @@ def drawdown_periods(df: DataFrame, r: str = "r", by: str = "series", at: str =
     ``series, peak, trough, recovery, depth, peak_to_trough,
     trough_to_recovery, duration``: the peak is the row before the episode
     (the first row of the series for an episode that starts there), the trough
-    the first minimum, the recovery the first row back at the peak (null
-    while open, then the duration is null too). Lengths count rows.
+    the first minimum, the recovery the first row back at the peak. An episode
+    still open has no recovery and no ``trough_to_recovery``, and its duration
+    runs to the last row of the series. Lengths count rows; rows without a
+    return (the edges of a series) are left out.
     """
     order = _order(by, at)
-    rows = with_drawdown(df, r, by, at).withColumns(
+    seen = df.where(F.col(r).isNotNull())
+    rows = with_drawdown(seen, r, by, at).withColumns(
         {"_n": F.row_number().over(order), "_before": F.lag(at).over(order), "_next": F.lead(at).over(order)}
     )
     marked = islands(rows, [by], at, F.col("drawdown") < 0, "_isl").where("drawdown < 0")
@@ -73,8 +85,10 @@ def drawdown_periods(df: DataFrame, r: str = "r", by: str = "series", at: str =
         low.alias("_low"),
         F.max_by("_next", "_n").alias("recovery"),
         F.greatest(F.min("_n") - 1, F.lit(1)).alias("_from"),
-        (F.max("_n") + 1).alias("_to"),
+        F.max("_n").alias("_to"),
     )
+    back = F.col("recovery").isNotNull()
+    end = F.col("_to") + F.when(back, 1).otherwise(0)
     return found.select(
         by,
         "peak",
@@ -82,8 +96,8 @@ def drawdown_periods(df: DataFrame, r: str = "r", by: str = "series", at: str =
         "recovery",
         F.col("_low.drawdown").alias("depth"),
         (F.col("_low._n") - F.col("_from")).cast("bigint").alias("peak_to_trough"),
-        F.when(F.col("recovery").isNotNull(), F.col("_to") - F.col("_low._n")).cast("bigint").alias("trough_to_recovery"),
-        F.when(F.col("recovery").isNotNull(), F.col("_to") - F.col("_from")).cast("bigint").alias("duration"),
+        F.when(back, end - F.col("_low._n")).cast("bigint").alias("trough_to_recovery"),
+        (end - F.col("_from")).cast("bigint").alias("duration"),
     )
 
 
@@ -120,8 +134,28 @@ def rate_per_period(annual: float, periods: int) -> float:
     return (1.0 + annual) ** (1.0 / periods) - 1.0
 
 
-def excess_returns(r: str, risk_free: float = 0.0, periods: int = 252) -> Column:
-    return F.col(r) - F.lit(rate_per_period(risk_free, periods))
+def excess_returns(r: Column | str, risk_free: float | str = 0.0, periods: int = 252) -> Column:
+    """``r`` less the risk-free return of the period.
+
+    A number is an annual rate, converted geometrically; a string names a
+    column of periodic risk-free returns (see :func:`with_risk_free`).
+    """
+    if isinstance(risk_free, str):
+        return _c(r) - F.col(risk_free)
+    return _c(r) - F.lit(rate_per_period(risk_free, periods))
+
+
+def with_risk_free(df: DataFrame, rates: DataFrame, name: str = "rf", r: str = "r", at: str = "session") -> DataFrame:
+    """Adds the periodic risk-free return of each session from ``rates`` (``session, name``).
+
+    A session with a return but without a rate is an error when it is read.
+    ``rates`` has a row per session, so it is as small as the calendar.
+    """
+    known = rates.select(at, F.col(name).cast("double").alias("_rf"))
+    met = df.join(F.broadcast(known), at, "left")
+    lacking = F.col(r).isNotNull() & F.col("_rf").isNull()
+    told = F.raise_error(F.concat(F.lit("no risk-free return at "), F.col(at).cast("string"))).cast("double")
+    return met.select(*df.columns, F.when(lacking, told).otherwise(F.col("_rf")).alias(name))
 
 
 # -- aggregates --------------------------------------------------------------------------
@@ -148,13 +182,13 @@ def annualized_volatility(r: Column | str, periods: int = 252) -> Column:
     return sample_std(r) * F.lit(periods**0.5)
 
 
-def sharpe_ratio(r: Column | str, risk_free: float = 0.0, periods: int = 252) -> Column:
-    e = _c(r) - F.lit(rate_per_period(risk_free, periods))
+def sharpe_ratio(r: Column | str, risk_free: float | str = 0.0, periods: int = 252) -> Column:
+    e = excess_returns(r, risk_free, periods)
     return F.try_divide(F.avg(e), sample_std(e)) * F.lit(periods**0.5)
 
 
-def sortino_ratio(r: Column | str, risk_free: float = 0.0, periods: int = 252) -> Column:
-    e = _c(r) - F.lit(rate_per_period(risk_free, periods))
+def sortino_ratio(r: Column | str, risk_free: float | str = 0.0, periods: int = 252) -> Column:
+    e = excess_returns(r, risk_free, periods)
     downside = F.sqrt(F.avg(F.pow(F.least(e, F.lit(0.0)), F.lit(2.0))))
     return F.try_divide(F.avg(e), downside) * F.lit(periods**0.5)
 
@@ -190,29 +224,32 @@ def value_at_risk(r: Column | str, confidence: float = 0.95) -> Column:
     return quantile(r, 1 - confidence)
 
 
-def performance(df: DataFrame, r: str = "r", by: str = "series", at: str = "session", risk_free: float = 0.0, periods: int = 252, confidence: float = 0.95) -> DataFrame:
+def performance(df: DataFrame, r: str = "r", by: str = "series", at: str = "session", risk_free: float | str = 0.0, periods: int = 252, confidence: float = 0.95) -> DataFrame:
     """All absolute metrics, one row per series.
 
-    Two passes over the shuffled rows: drawdowns (windows) with most metrics
-    in one aggregation, and the tail mean, which needs the quantile first.
+    One shuffle by series: drawdowns, the length of the episode a row lies in
+    and the quantile are windows of it, and the metrics, the tail mean among
+    them, one aggregation. Rows without a return are left out; a series
+    without any does not appear. ``max_drawdown_duration`` counts an episode
+    still open to the end of the series.
     """
-    var = df.groupBy(by).agg(value_at_risk(r, confidence).alias("_var"))
-    tail = (
-        df.join(var, by).where(F.col(r) <= F.col("_var")).groupBy(by).agg(F.avg(r).alias("conditional_value_at_risk"))
+    seen = df.where(F.col(r).isNotNull())
+    order, whole = _order(by, at), Window.partitionBy(by)
+    down = F.col("drawdown") < 0
+    rows = with_drawdown(seen, r, by, at).withColumn("_n", F.row_number().over(order))
+    # The last row at the peak before this one; the first row where there is none.
+    peak = F.coalesce(F.max(F.when(~down, F.col("_n"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1))
+    in_episode = down | F.coalesce(F.lag(down).over(order), F.lit(False))
+    rows = rows.withColumns(
+        {"_length": F.when(in_episode, F.col("_n") - peak), "_var": value_at_risk(r, confidence).over(whole)}
     )
-    episodes = drawdown_periods(df, r, by, at)
-    rows = df.groupBy(by).agg(F.count(r).alias("_rows"))
-    longest = (
-        episodes.join(rows, by)
-        .groupBy(by)
-        .agg(F.max(F.coalesce("duration", F.lit(0))).alias("_d"))
-    )
-    main = with_drawdown(df, r, by, at).groupBy(by).agg(
+    main = rows.groupBy(by).agg(
         F.count(r).alias("observations"),
         total_return(r).alias("total_return"),
         cagr(r, periods).alias("cagr"),
         annualized_volatility(r, periods).alias("annualized_volatility"),
         F.min("drawdown").alias("max_drawdown"),
+        F.coalesce(F.max("_length"), F.lit(0)).cast("bigint").alias("max_drawdown_duration"),
         sharpe_ratio(r, risk_free, periods).alias("sharpe_ratio"),
         sortino_ratio(r, risk_free, periods).alias("sortino_ratio"),
         F.avg(r).alias("mean_return"),
@@ -223,38 +260,119 @@ def performance(df: DataFrame, r: str = "r", by: str = "series", at: str = "sess
         F.min(r).alias("worst_period"),
         positive_ratio(r).alias("positive_ratio"),
         negative_ratio(r).alias("negative_ratio"),
-        value_at_risk(r, confidence).alias("value_at_risk"),
-    )
-    return (
-        main.withColumn("calmar_ratio", F.try_divide(F.col("cagr"), F.abs("max_drawdown")))
-        .join(tail, by, "left")
-        .join(longest, by, "left")
-        .withColumn("longest_closed_drawdown", F.coalesce("_d", F.lit(0)).cast("bigint"))
-        .drop("_d")
+        F.max("_var").alias("value_at_risk"),
+        F.avg(F.when(F.col(r) <= F.col("_var"), F.col(r))).alias("conditional_value_at_risk"),
     )
+    return main.withColumn("calmar_ratio", F.try_divide(F.col("cagr"), F.abs("max_drawdown")))
+
+
+#: Sections and metrics of a summary, in order (fixed values).
+SECTIONS = {
+    "return": ("total_return", "cagr"),
+    "risk": ("annualized_volatility", "max_drawdown", "max_drawdown_duration"),
+    "risk_adjusted": ("sharpe_ratio", "sortino_ratio", "calmar_ratio"),
+    "distribution": (
+        "skewness",
+        "kurtosis",
+        "value_at_risk",
+        "conditional_value_at_risk",
+        "best_period",
+        "worst_period",
+        "positive_ratio",
+    ),
+    "benchmark": (
+        "beta",
+        "alpha",
+        "correlation",
+        "tracking_error",
+        "information_ratio",
+        "up_capture",
+        "down_capture",
+        "excess_cagr",
+    ),
+}
+
+#: Growth a year; not told of less than a year of observations (fixed values).
+NEEDS_A_YEAR = ("cagr", "excess_cagr", "calmar_ratio")
 
 
-def summary(df: DataFrame, r: str = "r", by: str = "series", at: str = "session", periods: int = 252) -> DataFrame:
-    """``series, metric, value``: :func:`performance` unpivoted.
+def _long(wide: DataFrame, by: str, sections: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``by, section, metric, value``, one row for each metric of a row."""
+    cells = [
+        F.struct(F.lit(s).alias("section"), F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+        for s, metrics in sections.items()
+        for m in metrics
+    ]
+    return wide.select(by, F.inline(F.array(*cells)))
 
-    Annual figures of less than a year of observations are null.
+
+def in_common(df: DataFrame, r: str = "r", b: str | None = None, by: str = "series", at: str = "session") -> DataFrame:
+    """The rows of the sessions at which every series (and the benchmark) has a return.
+
+    Counts the series (one small job).
+    """
+    seen = df.where(F.col(r).isNotNull())
+    if b is not None:
+        seen = seen.where(F.col(b).isNotNull())
+    n = df.where(F.col(r).isNotNull()).select(by).distinct().count()
+    every = seen.groupBy(at).agg(F.count_distinct(by).alias("_n")).where(F.col("_n") == n).select(at)
+    return seen.join(every, at, "left_semi")
+
+
+def summary(
+    df: DataFrame,
+    r: str = "r",
+    by: str = "series",
+    at: str = "session",
+    *,
+    benchmark: str | None = None,
+    benchmark_name: str = "benchmark",
+    risk_free: float | str = 0.0,
+    periods: int = 252,
+    confidence: float = 0.95,
+    common_period: bool = True,
+    check: bool = True,
+) -> DataFrame:
+    """``series, section, metric, value``: the metrics of :data:`SECTIONS`.
+
+    ``benchmark`` names a column with the benchmark's return of the row's
+    session; it adds the section ``benchmark`` and a series of its own, named
+    ``benchmark_name``. With ``common_period`` all series are measured over
+    the sessions they all have (none is an error). Growth a year of a series
+    of less than a year is null. With ``check`` the returns are held to their
+    contract first (a pass over them, run at once).
     """
-    wide = performance(df, r, by, at, periods=periods)
+    integer("periods", periods, 1), real("confidence", confidence, 0.0, 1.0)
+    if check:
+        require_returns(require_observations(df), r, by, at)
+    if common_period:
+        df = in_common(df, r, benchmark, by, at)
+        if df.isEmpty():
+            raise ValueError("the series have no session in common")
+    keep = [risk_free] if isinstance(risk_free, str) else []
+    rows, sections = df.select(by, at, F.col(r).alias("r"), *keep), dict(SECTIONS)
+    if benchmark is None:
+        del sections["benchmark"]
+    else:
+        market = df.where(F.col(benchmark).isNotNull()).groupBy(at).agg(
+            F.max(benchmark).alias("r"), *(F.max(c).alias(c) for c in keep)
+        )
+        rows = rows.unionByName(market.select(F.lit(benchmark_name).alias(by), at, "r", *keep))
+    wide = performance(rows, "r", by, at, risk_free, periods, confidence)
+    if benchmark is not None:
+        wide = wide.join(relative(df, r, benchmark, by, risk_free, periods), by, "left")
     short = F.col("observations") < periods
-    wide = wide.withColumns({c: F.when(~short, F.col(c)) for c in ("cagr", "calmar_ratio")})
-    names = [c for c in wide.columns if c != by]
-    wide = wide.select(by, *(F.col(c).cast("double").alias(c) for c in names))
-    return wide.unpivot(by, names, "metric", "value")
+    wide = wide.withColumns({c: F.when(~short, F.col(c)) for c in NEEDS_A_YEAR if c in wide.columns})
+    return _long(wide, by, sections)
 
 
 # -- against a benchmark -------------------------------------------------------------------
 
 
-def relative(df: DataFrame, r: str = "r", b: str = "b", by: str = "series", risk_free: float = 0.0, periods: int = 252) -> DataFrame:
+def relative(df: DataFrame, r: str = "r", b: str = "b", by: str = "series", risk_free: float | str = 0.0, periods: int = 252) -> DataFrame:
     """All metrics against a benchmark, one row per series; rows with both only."""
     both = df.where(F.col(r).isNotNull() & F.col(b).isNotNull())
-    rf = rate_per_period(risk_free, periods)
-    x, y = F.col(b) - F.lit(rf), F.col(r) - F.lit(rf)
+    x, y = excess_returns(b, risk_free, periods), excess_returns(r, risk_free, periods)
     active = F.col(r) - F.col(b)
     beta = F.when(~is_constant(x), F.try_divide(F.covar_samp(y, x), F.var_samp(x)))
 
@@ -305,12 +423,12 @@ def rolling_volatility(r: str, w: int, periods: int = 252, by: str = "series", a
     return _strict(r, w, _rolling_std(F.col(r), _frame(w, by, at)) * F.lit(periods**0.5), by, at)
 
 
-def rolling_sharpe(r: str, w: int, risk_free: float = 0.0, periods: int = 252, by: str = "series", at: str = "session") -> Column:
+def rolling_sharpe(r: str, w: int, risk_free: float | str = 0.0, periods: int = 252, by: str = "series", at: str = "session") -> Column:
     e, frame = excess_returns(r, risk_free, periods), _frame(w, by, at)
     return _strict(r, w, F.try_divide(F.avg(e).over(frame), _rolling_std(e, frame)) * F.lit(periods**0.5), by, at)
 
 
-def rolling_sortino(r: str, w: int, risk_free: float = 0.0, periods: int = 252, by: str = "series", at: str = "session") -> Column:
+def rolling_sortino(r: str, w: int, risk_free: float | str = 0.0, periods: int = 252, by: str = "series", at: str = "session") -> Column:
     """Null where no row of the window is below the target."""
     e, frame = excess_returns(r, risk_free, periods), _frame(w, by, at)
     down = F.sqrt(F.avg(F.pow(F.least(e, F.lit(0.0)), F.lit(2.0))).over(frame))
@@ -318,34 +436,55 @@ def rolling_sortino(r: str, w: int, risk_free: float = 0.0, periods: int = 252,
     return _strict(r, w, F.when(some, F.try_divide(F.avg(e).over(frame), down) * F.lit(periods**0.5)), by, at)
 
 
-def rolling_beta(r: str, b: str, w: int, by: str = "series", at: str = "session") -> Column:
+def _both(x: Column, y: Column) -> tuple[Column, Column]:
+    """The two where both are there, else null: a window counts the same rows of either."""
+    there = x.isNotNull() & y.isNotNull()
+    return F.when(there, x), F.when(there, y)
+
+
+def _full(x: Column, w: int, value: Column, frame: WindowSpec) -> Column:
+    return F.when(F.count(x).over(frame) == w, value)
+
+
+def rolling_beta(r: str, b: str, w: int, risk_free: float | str = 0.0, periods: int = 252, by: str = "series", at: str = "session") -> Column:
+    """Of windows with ``w`` rows that have both returns; null where the benchmark is constant."""
     frame = _frame(w, by, at)
-    moves = F.max(b).over(frame) > F.min(b).over(frame)
-    value = F.when(moves, F.try_divide(F.covar_samp(r, b).over(frame), F.var_samp(b).over(frame)))
-    return _strict(r, w, value, by, at)
+    y, x = _both(excess_returns(r, risk_free, periods), excess_returns(b, risk_free, periods))
+    moves = F.max(x).over(frame) > F.min(x).over(frame)
+    return _full(x, w, F.when(moves, F.try_divide(F.covar_samp(y, x).over(frame), F.var_samp(x).over(frame))), frame)
 
 
 def rolling_correlation(r: str, b: str, w: int, by: str = "series", at: str = "session") -> Column:
+    """Of windows with ``w`` rows that have both returns; null where either is constant."""
     frame = _frame(w, by, at)
-    moves = (F.max(b).over(frame) > F.min(b).over(frame)) & (F.max(r).over(frame) > F.min(r).over(frame))
-    return _strict(r, w, F.when(moves, F.corr(r, b).over(frame)), by, at)
+    y, x = _both(F.col(r), F.col(b))
+    moves = (F.max(x).over(frame) > F.min(x).over(frame)) & (F.max(y).over(frame) > F.min(y).over(frame))
+    return _full(x, w, F.when(moves, F.corr(y, x).over(frame)), frame)
 
 
 # -- trades -----------------------------------------------------------------------------------
 
 
 def trade_metrics(df: DataFrame, result: str = "result", by: str = "series", order: str = "seq") -> DataFrame:
-    """All outcome metrics of trades, one row per series; zero is neither win nor loss."""
+    """All outcome metrics of trades, one row per series; zero is neither win nor loss.
+
+    One shuffle by series: a row's place in its run of wins or losses is a
+    window, the metrics one aggregation.
+    """
     x = F.col(result)
-    sign = islands(df, [by], order, F.signum(x).cast("int"), "_isl")
-    runs = sign.groupBy(by, "_isl", F.signum(x).cast("int").alias("_s")).agg(F.count("*").alias("_n"))
-    streaks = runs.groupBy(by).agg(
-        F.coalesce(F.max(F.when(F.col("_s") > 0, F.col("_n"))), F.lit(0)).alias("max_consecutive_wins"),
-        F.coalesce(F.max(F.when(F.col("_s") < 0, F.col("_n"))), F.lit(0)).alias("max_consecutive_losses"),
-    )
+    w = _order(by, order)
+    n = F.row_number().over(w)
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    marked = df.withColumn("_n", n)
+
+    def run(side: Column) -> Column:
+        """Rows since the last one of another kind; zero on such a row."""
+        return F.col("_n") - F.coalesce(F.max(F.when(~F.coalesce(side, F.lit(False)), F.col("_n"))).over(sofar), F.lit(0))
+
+    marked = marked.withColumns({"_w": run(x > 0), "_l": run(x < 0)})
     win, loss = F.when(x > 0, x), F.when(x < 0, x)
     std = sample_std(x)
-    main = df.groupBy(by).agg(
+    return marked.groupBy(by).agg(
         F.count(x).alias("trade_count"),
         F.avg((x > 0).cast("double")).alias("win_rate"),
         F.avg((x < 0).cast("double")).alias("loss_rate"),
@@ -360,18 +499,21 @@ def trade_metrics(df: DataFrame, result: str = "result", by: str = "series", ord
         F.try_divide(F.coalesce(F.sum(win), F.lit(0.0)), F.abs(F.sum(loss))).alias("profit_factor"),
         F.max(x).alias("best_trade"),
         F.min(x).alias("worst_trade"),
+        F.coalesce(F.max("_w"), F.lit(0)).cast("bigint").alias("max_consecutive_wins"),
+        F.coalesce(F.max("_l"), F.lit(0)).cast("bigint").alias("max_consecutive_losses"),
     )
-    return main.join(streaks, by)
 
 
-def trade_timing(trades: DataFrame, sessions: DataFrame, by: str = "series") -> DataFrame:
-    """Frequency, exposure and mean holding period of trades, per series.
+def trade_timing(trades: DataFrame, sessions: DataFrame, by: str = "series", annualized: bool = False, periods: int | None = None) -> DataFrame:
+    """Frequency (a session, or a year), exposure and mean holding period of trades, per series.
 
     ``trades`` hold ``series, entry, exit`` as dates of ``sessions``
     (``session, pos``). Exposure is the share of sessions that at least one
     trade covers: each series' trades are merged into runs without overlap by
     a running maximum of the exits, so no trade is joined to all its sessions.
     """
+    if annualized != (periods is not None):
+        raise ValueError("sessions a year are given if and only if the frequency is a year's")
     entry = sessions.select(F.col("session").alias("entry"), F.col("pos").alias("_a"))
     exit_ = sessions.select(F.col("session").alias("exit"), F.col("pos").alias("_b"))
     placed = trades.join(entry, "entry", "left").join(exit_, "exit", "left").withColumns(
@@ -389,29 +531,81 @@ def trade_timing(trades: DataFrame, sessions: DataFrame, by: str = "series") ->
     n = total.first()[0]
     return per.select(
         by,
-        F.try_divide(F.col("trades").cast("double"), F.lit(float(n))).alias("trade_frequency"),
+        F.try_divide(F.col("trades").cast("double") * F.lit(float(periods or 1)), F.lit(float(n))).alias("trade_frequency"),
         F.try_divide(F.col("_covered").cast("double"), F.lit(float(n))).alias("exposure"),
         "average_holding_period",
     )
 
 
+#: Sections and metrics of a summary of trades, in order (fixed values).
+TRADE_SECTIONS = {
+    "outcome": (
+        "trade_count",
+        "win_rate",
+        "loss_rate",
+        "expectancy",
+        "trade_standard_deviation",
+        "expectancy_t_stat",
+        "average_win",
+        "average_loss",
+        "payoff_ratio",
+        "gross_profit",
+        "gross_loss",
+        "profit_factor",
+        "best_trade",
+        "worst_trade",
+        "max_consecutive_wins",
+        "max_consecutive_losses",
+    ),
+    "timing": ("trade_frequency", "exposure", "average_holding_period"),
+}
+
+
+def trade_summary(
+    results: DataFrame,
+    trades: DataFrame | None = None,
+    sessions: DataFrame | None = None,
+    *,
+    result: str = "result",
+    by: str = "series",
+    order: str = "seq",
+    annualized: bool = False,
+    periods: int | None = None,
+    check: bool = True,
+) -> DataFrame:
+    """``series, section, metric, value``: :func:`trade_metrics` and, with the
+    trades' times and the sessions, :func:`trade_timing` of each series. With
+    ``check`` all of them are held to their contracts first."""
+    if (trades is None) != (sessions is None):
+        raise ValueError("trades and sessions are given together")
+    if check:
+        require_trade_results(results, result)
+        if trades is not None:
+            require_trades(trades), require_sessions(sessions)
+    found = _long(trade_metrics(results, result, by, order), by, {"outcome": TRADE_SECTIONS["outcome"]})
+    if trades is not None:
+        timing = trade_timing(trades, sessions, by, annualized, periods)
+        found = found.unionByName(_long(timing, by, {"timing": TRADE_SECTIONS["timing"]}))
+    return found
+
+
 # -- text --------------------------------------------------------------------------------------
 
-#: What each metric is measured in.
-UNITS = {
-    **dict.fromkeys(
-        (
-            "total_return", "cagr", "annualized_volatility", "max_drawdown", "mean_return", "standard_deviation", "best_period", "worst_period",
-            "positive_ratio", "negative_ratio", "value_at_risk", "conditional_value_at_risk", "tracking_error", "excess_cagr", "win_rate", "loss_rate",
-        ),
-        "share",
-    ),
-    **dict.fromkeys(
-        ("sharpe_ratio", "sortino_ratio", "calmar_ratio", "information_ratio", "skewness", "kurtosis", "correlation", "beta", "payoff_ratio", "profit_factor"),
-        "ratio",
+#: What each metric is measured in (fixed values): percent is a share, periods
+#: are rows, result is the unit of the trades' results, rate is trades a session.
+_IN = {
+    "percent": (
+        "total_return cagr annualized_volatility max_drawdown value_at_risk conditional_value_at_risk best_period worst_period "
+        "positive_ratio alpha tracking_error excess_cagr win_rate loss_rate exposure"
     ),
-    **dict.fromkeys(("observations", "longest_closed_drawdown", "trade_count", "max_consecutive_wins", "max_consecutive_losses"), "count"),
-}
+    "ratio": "sharpe_ratio sortino_ratio calmar_ratio beta correlation information_ratio up_capture down_capture payoff_ratio profit_factor",
+    "number": "skewness kurtosis expectancy_t_stat",
+    "count": "trade_count max_consecutive_wins max_consecutive_losses",
+    "periods": "max_drawdown_duration average_holding_period",
+    "result": "expectancy trade_standard_deviation average_win average_loss gross_profit gross_loss best_trade worst_trade",
+    "rate": "trade_frequency",
+}
+UNITS = {name: unit for unit, names in _IN.items() for name in names.split()}
 
 
 def as_text(long: DataFrame, by: str = "series", metric: str = "metric", value: str = "value") -> str:

@@ -43,24 +43,42 @@ def successor_candidates(life: DataFrame, sessions: DataFrame, entity: str, kind
     return met.where("from_ <> to_").select("from_", "to_", "gap_sessions")
 
 
-def chosen_links(candidates: DataFrame, most: int = 5) -> DataFrame:
-    """One-to-one links, the smallest gaps first.
-
-    At each gap a pair is linked if both are still free and neither has
-    another free partner at that gap; crowded ones are left. ``from_, to_,
-    gap_sessions``. The rounds are as many as there are gaps, and each is
-    checkpointed, so plans do not grow.
+def chosen_links(candidates: DataFrame) -> DataFrame:
+    """One-to-one links, the smallest gaps first: ``from_, to_, gap_sessions``.
+
+    Gap by gap a pair is linked if both are still free and neither has
+    another free partner at that gap; crowded ones are left, but stay free
+    for larger gaps. Repeated pairs count once, pairs with a null are left out.
+
+    Not all gaps need rounds of their own: a pair may be judged as soon as
+    both ends, and all their partners at this gap, have nothing open at a
+    smaller one. A round judges all such pairs at once (those of the smallest
+    gap are always among them), so there are about as many rounds as the
+    longest chain of pairs that wait for each other; each is checkpointed.
+    Groups are aggregated, not gathered. Runs when it is called.
     """
-    free, links = candidates, None
-    for gap in range(1, most + 1):
-        level = free.where(F.col("gap_sessions") == gap)
-        sole = (F.count("*").over(Window.partitionBy("from_")) == 1) & (F.count("*").over(Window.partitionBy("to_")) == 1)
-        taken = cut_lineage(level.withColumn("_sole", sole).where("_sole").drop("_sole"))
-        links = taken if links is None else links.unionByName(taken)
-        rest = free.where(F.col("gap_sessions") > gap)
-        free = cut_lineage(
-            rest.join(taken.select("from_"), "from_", "left_anti").join(taken.select("to_"), "to_", "left_anti")
+    pair = ["from_", "to_", "gap_sessions"]
+    open_ = cut_lineage(candidates.select(*pair).where("from_ IS NOT NULL AND to_ IS NOT NULL AND gap_sessions IS NOT NULL").distinct())
+    links = None
+    while links is None or not open_.isEmpty():
+        lows = open_
+        for end in ("from_", "to_"):
+            lows = lows.join(open_.groupBy(end).agg(F.min("gap_sessions").alias(f"_{end}")), end)
+        ready = (F.col("gap_sessions") == F.col("_from_")) & (F.col("gap_sessions") == F.col("_to_"))
+        told = cut_lineage(lows.select(*pair, ready.alias("_ready")))
+        judged = told.where("_ready")
+        for end in ("from_", "to_"):
+            level = told.groupBy(end, "gap_sessions").agg(F.count("*").alias(f"_n{end}"), F.bool_and("_ready").alias(f"_all{end}"))
+            judged = judged.join(level, [end, "gap_sessions"])
+        judged = cut_lineage(
+            judged.where("_allfrom_ AND _allto_").select(*pair, ((F.col("_nfrom_") == 1) & (F.col("_nto_") == 1)).alias("_sole"))
         )
+        taken = judged.where("_sole").select(*pair)
+        links = taken if links is None else links.unionByName(taken)
+        rest = open_.join(judged.select(*pair), pair, "left_anti")
+        for end in ("from_", "to_"):
+            rest = rest.join(taken.select(end), end, "left_anti")
+        open_ = cut_lineage(rest)
     return links
 
 

@@ -309,8 +309,9 @@ def equal_weight(spark, sf_dir):
 
 @_query(
     "wf_schedule",
-    f"""WITH {_PERIODS}, w AS (SELECT t::DATE AS t0, least((t + INTERVAL 3 MONTH)::DATE, DATE '1998-01-01') AS t1, (t - INTERVAL 6 MONTH)::DATE AS r0
-  FROM generate_series(DATE '1996-01-01', DATE '1997-12-31', INTERVAL 3 MONTH) g(t))
+    f"""WITH {_PERIODS}, ends AS (SELECT (date_trunc('month', min(session)) + INTERVAL 6 MONTH)::DATE AS first_, max(session) AS last_ FROM cal),
+w AS (SELECT t::DATE AS t0, least((t + INTERVAL 3 MONTH)::DATE, last_ + 1) AS t1, (t - INTERVAL 6 MONTH)::DATE AS r0
+  FROM ends, generate_series(first_, last_, INTERVAL 3 MONTH) g(t))
 SELECT strftime(t0, '%Y-%m') AS "window", min(session) FILTER (session < t0) AS train_start, max(session) FILTER (session < t0) AS train_end,
   min(session) FILTER (session >= t0) AS test_start, max(session) FILTER (session >= t0) AS test_end,
   max(session) FILTER (session < t0) AS decision_start, (SELECT d.session FROM cal d WHERE d.pos = max(cal.pos) - 1) AS decision_end

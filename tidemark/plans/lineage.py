@@ -1,4 +1,4 @@
-"""Queries of matching, identity, folds and summaries, with their SQL."""
+"""Queries of matching, identity and folds, with their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.common import norm, table
-from tidemark.functions import analytics as A
 from tidemark.operators import backtest, folds, identity, joins, matching
 from tidemark.operators.calendar import sessions_of
 from tidemark.plans import market as M
@@ -160,9 +159,21 @@ def successor_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir)
 
 
-@_query("successor_links")
+@_query(
+    "successor_links",
+    f"""WITH RECURSIVE {_LIVES},
+state AS (SELECT 0 AS g, []::VARCHAR[] AS f, []::VARCHAR[] AS t
+  UNION ALL
+  SELECT g + 1, list_concat(any_value(f), coalesce(list(from_ ORDER BY from_) FILTER (sole), [])), list_concat(any_value(t), coalesce(list(to_ ORDER BY from_) FILTER (sole), []))
+  FROM (SELECT s.g, s.f, s.t, c.from_, c.to_,
+      coalesce(c.from_ IS NOT NULL AND count(*) OVER (PARTITION BY c.from_) = 1 AND count(*) OVER (PARTITION BY c.to_) = 1, false) AS sole
+    FROM state s LEFT JOIN cand c ON c.gap_sessions = s.g + 1 AND NOT list_contains(s.f, c.from_) AND NOT list_contains(s.t, c.to_)
+    WHERE s.g < 40) x GROUP BY g),
+linked AS (SELECT unnest(f) AS from_, unnest(t) AS to_ FROM state WHERE g = 40)
+SELECT from_, to_, gap_sessions FROM linked JOIN cand USING (from_, to_)""",
+)
 def successor_links(spark, sf_dir):
-    return identity.chosen_links(_candidates(spark, sf_dir), most=8)
+    return identity.chosen_links(_candidates(spark, sf_dir))
 
 
 @_query(
@@ -187,14 +198,15 @@ def label_dedupe(spark, sf_dir):
     return kept.select("label", "session", "symbol", F.round("close", 8).alias("close"))
 
 
-# -- folds and summaries --------------------------------------------------------------------
+# -- folds --------------------------------------------------------------------
 
 
 @_query(
     "wf_folds",
     f"""WITH {M.BARS}, cal AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS pos FROM (SELECT DISTINCT session FROM bars)),
-w AS (SELECT t::DATE AS t0, least((t + INTERVAL 3 MONTH)::DATE, DATE '1998-01-01') AS t1, (t - INTERVAL 6 MONTH)::DATE AS r0
-  FROM generate_series(DATE '1996-01-01', DATE '1997-12-31', INTERVAL 3 MONTH) g(t)),
+ends AS (SELECT (date_trunc('month', min(session)) + INTERVAL 6 MONTH)::DATE AS first_, max(session) AS last_ FROM cal),
+w AS (SELECT t::DATE AS t0, least((t + INTERVAL 3 MONTH)::DATE, last_ + 1) AS t1, (t - INTERVAL 6 MONTH)::DATE AS r0
+  FROM ends, generate_series(first_, last_, INTERVAL 3 MONTH) g(t)),
 f AS (SELECT strftime(t0, '%Y-%m') AS "window", t0, min(session) FILTER (session < t0) AS a, max(session) FILTER (session < t0) AS b,
     count(*) FILTER (session < t0) AS n FROM w JOIN cal ON session >= r0 AND session < t1 GROUP BY t0),
 life AS (SELECT symbol, min(session) AS f0, max(session) AS l0 FROM bars GROUP BY symbol),
@@ -211,20 +223,3 @@ def wf_folds(spark, sf_dir):
     every = daily.select("symbol").distinct().withColumn("window", F.explode(F.array(*map(F.lit, names))))
     rules = [folds.HasHistory(), folds.StillTrading(), folds.MinimumPresence(0.62)]
     return folds.folds(windows, every, daily, sessions, rules)
-
-
-_OUT = ("trade_count", "win_rate", "loss_rate", "expectancy", "gross_profit", "gross_loss", "best_trade", "worst_trade")
-
-
-@_query(
-    "trade_summary",
-    f"""WITH {M.TRADES}, g AS (SELECT series, count(*)::DOUBLE AS trade_count, avg((result > 0)::INT) AS win_rate, avg((result < 0)::INT) AS loss_rate,
-  avg(result) AS expectancy, coalesce(sum(result) FILTER (result > 0), 0) AS gross_profit, coalesce(sum(result) FILTER (result < 0), 0) AS gross_loss,
-  max(result) AS best_trade, min(result) AS worst_trade FROM trades GROUP BY series)
-SELECT series, metric, round(value, 6) AS value FROM g UNPIVOT (value FOR metric IN ({", ".join(_OUT)}))""",
-)
-def trade_summary(spark, sf_dir):
-    found = A.trade_metrics(M.trades(spark, sf_dir))
-    metrics = [c for c in found.columns if c != "series"]
-    wide = found.select("series", *(F.col(c).cast("double").alias(c) for c in metrics))
-    return wide.unpivot("series", metrics, "metric", "value").withColumn("value", F.round("value", 6))

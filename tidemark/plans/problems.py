@@ -326,8 +326,8 @@ SQL = {
     "p1_found": f"WITH {_FLAGS} SELECT isin, session_date FROM flags WHERE impossible OR stuck OR spike",
     "p2_presence": f"""
 WITH {_DAYS},
-span AS (SELECT security_id, min(session_date) AS f, max(session_date) AS l FROM daily JOIN cal USING (session_date) GROUP BY ALL),
-grid AS (SELECT s.security_id, c.session_date FROM span s JOIN cal c ON c.session_date BETWEEN s.f AND s.l),
+span AS (SELECT security_id, min(session_date) AS f FROM daily JOIN cal USING (session_date) GROUP BY ALL),
+grid AS (SELECT s.security_id, c.session_date FROM span s JOIN cal c ON c.session_date >= s.f),
 hits AS (SELECT g.security_id, g.session_date, {", ".join(f"count(*) FILTER (d.session_date > g.session_date - INTERVAL {m} MONTH) AS k{m}" for m in (1, 2, 3, 4, 6, 12))}
   FROM grid g JOIN daily d ON d.security_id = g.security_id AND d.v > 0 AND d.session_date <= g.session_date
     AND d.session_date > g.session_date - INTERVAL 12 MONTH GROUP BY ALL),
@@ -356,9 +356,9 @@ UNION ALL
 SELECT security_id, strftime(base_session, '%Y-%m-%d'), 'thin_' || setting_id FROM thin WHERE k > 0 AND k / n < min_presence""",
     "p2_rolling": f"""
 WITH {_DAYS},
-span AS (SELECT security_id, min(pos) AS f, max(pos) AS l FROM daily JOIN cal USING (session_date) GROUP BY ALL),
+span AS (SELECT security_id, min(pos) AS f FROM daily JOIN cal USING (session_date) GROUP BY ALL),
 grid AS (SELECT s.security_id, c.session_date, c.pos, coalesce(d.v, 0) AS v
-  FROM span s JOIN cal c ON c.pos BETWEEN s.f AND s.l
+  FROM span s JOIN cal c ON c.pos >= s.f
   LEFT JOIN daily d ON d.security_id = s.security_id AND d.session_date = c.session_date),
 w AS (SELECT *, sum(v) OVER (PARTITION BY security_id ORDER BY pos ROWS 6 PRECEDING) AS s7,
   sum(v) OVER (PARTITION BY security_id ORDER BY pos ROWS 29 PRECEDING) AS s30 FROM grid)
