@@ -18,13 +18,52 @@ def test_permutations(n):
     assert n < 20 or (there != M.permuted(index, n, 100)).any()
 
 
+def plan(quotas, shard_blocks, seed=5, blocks=None):
+    return M.Mixture(tuple(f"s{i}" for i in range(len(quotas))), tuple(blocks or quotas), tuple(quotas), shard_blocks, seed)
+
+
 def test_draws_add_up():
-    quotas = [500, 30, 0, 1471]
-    drawn = M.draw(quotas, 100, 5)
-    assert drawn.sum(axis=0).tolist() == quotas
-    assert drawn.sum(axis=1).tolist() == [100] * 20 + [1]
-    assert np.abs(drawn[:20, 0] - 25).max() < 25
-    assert M.draw([0, 0], 10, 1).shape == (0, 2)
+    mixture = plan([500, 30, 0, 1471], 100)
+    drawn = list(M.shard_counts(mixture, 0, mixture.shards))
+    counts = np.array([c for _, _, c in drawn])
+    assert counts.sum(axis=0).tolist() == list(mixture.quotas) and [s for s, _, _ in drawn] == list(range(21))
+    assert counts.sum(axis=1).tolist() == [100] * 20 + [1]
+    assert np.abs(counts[:20, 0] - 25).max() < 25
+    assert all((b == counts[:s].sum(axis=0)).all() for s, b, _ in drawn)
+    # Any range of shards is what it is in the whole.
+    for s, b, c in M.shard_counts(mixture, 7, 12):
+        assert 7 <= s < 12 and (b == drawn[s][1]).all() and (c == drawn[s][2]).all()
+    assert list(M.shard_counts(plan([0, 0], 10), 0, 9)) == []
+
+
+def test_draws_have_the_spread_of_a_multinomial():
+    shares = np.array([0.2, 0.5, 0.3])
+    counts = np.array([c for _, _, c in M.shard_counts(plan([20_000, 50_000, 30_000], 100), 0, 1000)])
+    assert (np.abs(counts.mean(axis=0) - 100 * shares) < 1e-9).all()
+    assert (np.abs(counts.var(axis=0) / (100 * shares * (1 - shares)) - 1) < 0.15).all()
+    large = M.split_counts(np.array([3 * 10**12, 10**12]), 10**12, np.random.default_rng(1))
+    assert large.sum() == 10**12 and abs(large[0] / 10**12 - 0.75) < 1e-5
+
+
+def test_a_shard_of_a_million_is_found_at_once():
+    import pickle
+    import time
+
+    mixture = plan([400_000_000, 24_000_000, 600_000_000], 1024)
+    assert mixture.shards == 1_000_000 and len(pickle.dumps(mixture)) < 1000
+    began = time.perf_counter()
+    rows = [b for s in (0, 123_456, 999_999) for b in M.shard_slots(mixture, s, s + 1)]
+    assert time.perf_counter() - began < 1 and [b.num_rows for b in rows] == [1024] * 3
+
+
+def test_slots_take_every_block_once_an_epoch():
+    mixture = plan([70, 45], 8, blocks=[70, 20])
+    rows = [r for b in M.shard_slots(mixture, 0, mixture.shards) for r in b.to_pylist()]
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(i // 8, i % 8) for i in range(115)]
+    uses = Counter((r["source"], r["epoch"], r["block"]) for r in rows)
+    assert max(uses.values()) == 1
+    assert {b for s, e, b in uses if (s, e) == ("s1", 1)} == set(range(20)) and sum(e == 2 for s, e, _ in uses if s == "s1") == 5
+    assert {b for s, _, b in uses if s == "s0"} == set(range(70))
 
 
 def test_wanted_tokens():
@@ -83,3 +122,11 @@ def test_nothing(spark):
     assert mixed == [] and report[0].used_tokens == 0 and report[0].actual_share is None
     with pytest.raises(ValueError):
         run(spark, [("a", "x")], [("a", 0.5, 1), ("a", 0.5, 1)])
+
+
+def test_a_shuffle_gives_what_the_broadcast_gives(spark, monkeypatch):
+    rows = [("a", f"row {i} " * (i % 9)) for i in range(60)] + [("b", f"small {i}") for i in range(9)]
+    targets = [("a", 0.7, 1), ("b", 0.3, 2)]
+    one = sorted((r.shard, r.slot, r.source, r.block, r.epoch) for r in run(spark, rows, targets)[0])
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 0)
+    assert one == sorted((r.shard, r.slot, r.source, r.block, r.epoch) for r in run(spark, rows, targets)[0])

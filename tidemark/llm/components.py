@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, ship
 
+#: Blocks of vertices there are at least; the grid has the square of it as cells.
+LEAST_BLOCKS = 4
+
 #: Edges that a task holds at a time; further ones form another local graph.
 EDGES_AT_ONCE = 1_000_000
 
@@ -89,8 +92,9 @@ def components(
 
     Scale: a hot vertex has its pairs in one row and column of the grid, not
     in one task; a task works through its cells in bounded portions, since a
-    local union-find may be run on any part of the pairs. The grid grows with
-    the pairs (``cell_edges`` a cell on average). Each round is a few shuffles
+    local union-find may be run on any part of the pairs. The grid has at
+    least :data:`LEAST_BLOCKS` rows and columns and grows with the pairs
+    (``cell_edges`` a cell on average). Each round is a few shuffles
     of narrow rows and is checkpointed (AQE splits the join where one parent
     has a large share of all vertices); only counts reach the driver.
     """
@@ -102,7 +106,7 @@ def components(
         .distinct()
     )
     edges = cut_lineage(edges)
-    grid = max(1, math.ceil(math.sqrt(edges.count() / cell_edges)))
+    grid = max(LEAST_BLOCKS, math.ceil(math.sqrt(edges.count() / cell_edges)))
     for _ in range(max_rounds):
         cells = edges.repartition(
             grid * grid, F.pmod(F.xxhash64("u"), F.lit(grid)), F.pmod(F.xxhash64("v"), F.lit(grid))

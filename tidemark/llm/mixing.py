@@ -6,10 +6,9 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokenizer import IDS_AT_ONCE, as_text, encode_text, encoding, list_array, vocabulary_path
@@ -19,10 +18,17 @@ from tidemark.session import ship, written
 #: are packed together.
 SPLITS_A_TAIL = 64
 
-#: Offsets of (source, input split) are broadcast up to this many rows (about
-#: 20 MB) and joined by a shuffle beyond.
+#: Offsets of (source, input split), and the slots of the output, are broadcast
+#: up to this many rows (about 20 MB) and joined by a shuffle beyond.
 BROADCAST_ROWS = 500_000
 
+#: Numbers from here on are drawn from the normal limit of the distribution:
+#: numpy's exact sampler ends there, and the two differ by nothing that shows.
+LARGE = 10**9
+
+#: Slots that leave a task at a time.
+SLOTS_AT_ONCE = 1 << 17
+
 
 # -- pseudorandom permutations of an index range ------------------------------
 
@@ -68,18 +74,21 @@ def permuted(index: np.ndarray, n: int, key: int | np.ndarray, *, inverse: bool
 
 @dataclass(frozen=True)
 class Mixture:
-    """How many blocks of each source each output shard holds."""
+    """What any shard of the output can be computed from; a few numbers a source."""
 
     sources: tuple[str, ...]
-    blocks: np.ndarray  # blocks there are of each source
-    quotas: np.ndarray  # blocks the mixture takes of each
-    before: np.ndarray  # [shard, source]: blocks of a source before a shard
+    blocks: tuple[int, ...]  # blocks there are of each source
+    quotas: tuple[int, ...]  # blocks the mixture takes of each
     shard_blocks: int
     seed: int
 
-    def epochs(self) -> np.ndarray:
-        """How often each source is gone through, the last time perhaps in part."""
-        return -(-self.quotas // np.maximum(self.blocks, 1))
+    @property
+    def slots(self) -> int:
+        return sum(self.quotas)
+
+    @property
+    def shards(self) -> int:
+        return -(-self.slots // self.shard_blocks)
 
 
 def wanted_tokens(shares: Sequence[float], available: Sequence[int], repeats: Sequence[int], total: float) -> np.ndarray:
@@ -102,26 +111,98 @@ def wanted_tokens(shares: Sequence[float], available: Sequence[int], repeats: Se
         capped |= over
 
 
-def draw(quotas: Sequence[int], a_shard: int, seed: int) -> np.ndarray:
-    """Source counts of each shard, ``[shard, source]``.
+def split_counts(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source are among ``take`` slots of a range that holds ``counts``.
 
-    Each shard draws its counts from a multinomial whose chances are what is
-    left of the quotas; a draw beyond what is left goes to the other sources.
-    The counts add up to the quotas exactly.
+    Multivariate hypergeometric, source by source: what independent
+    multinomial draws of all shards come to once their sum is given.
+    """
+    out = np.zeros_like(counts)
+    rest = int(counts.sum())
+    for i, have in enumerate(map(int, counts)):
+        rest -= have
+        least, most = max(0, take - rest), min(take, have)
+        if least < most and have + rest < LARGE:
+            got = int(rng.hypergeometric(have, rest, take))
+        elif least < most:
+            n = have + rest
+            mean = take / n * have
+            spread = (mean * (rest / n) * ((n - take) / (n - 1))) ** 0.5
+            got = min(most, max(least, round(mean + spread * rng.standard_normal())))
+        else:
+            got = most
+        out[i] = got
+        take -= got
+    return out
+
+
+def shard_counts(mixture: Mixture, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(shard, before, counts)`` of the shards ``first .. last - 1``, in order.
+
+    ``counts`` are the shard's blocks of each source, ``before`` those of all
+    shards before it. The shards are the leaves of a binary tree whose root
+    holds the quotas; each node splits what it holds by a draw of its own,
+    keyed by the seed and its range. So every shard is known after a draw for
+    each level, without the others, and neighbours share their way down: a
+    range of shards costs about one draw a shard. The counts of all shards add
+    up to the quotas exactly.
     """
-    left = np.asarray(quotas, dtype=np.int64).copy()
-    rng = np.random.default_rng(seed)
-    rows = []
-    while (rest := int(left.sum())) > 0:
-        count = np.zeros_like(left)
-        need = min(a_shard, rest)
-        while need:
-            room = left - count
-            count += np.minimum(rng.multinomial(need, room / room.sum()), room)
-            need = min(a_shard, rest) - int(count.sum())
-        rows.append(count)
-        left -= count
-    return np.array(rows, dtype=np.int64).reshape(len(rows), len(left))
+    total = mixture.slots
+
+    def down(low: int, high: int, before: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if high <= first or low >= last:
+            return
+        if high - low == 1:
+            yield low, before, counts
+            return
+        middle = (low + high) // 2
+        size = min(middle * mixture.shard_blocks, total) - low * mixture.shard_blocks
+        left = split_counts(counts, size, np.random.default_rng([mixture.seed, low, high]))
+        yield from down(low, middle, before, left)
+        yield from down(middle, high, before + left, counts - left)
+
+    quotas = np.array(mixture.quotas, dtype=np.int64)
+    if mixture.shards:
+        yield from down(0, mixture.shards, np.zeros_like(quotas), quotas)
+
+
+def shard_slots(mixture: Mixture, first: int, last: int) -> Iterator[pa.RecordBatch]:
+    """The slots of some shards and the block that each takes.
+
+    The n-th slot of a source takes the block at ``n % blocks`` of the
+    source's permutation of epoch ``n // blocks``; within a shard the slots
+    are permuted, so that the sources lie mixed.
+    """
+    blocks = np.array(mixture.blocks, dtype=np.int64)
+    names = pa.array(mixture.sources, pa.string())
+    held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
+
+    def out() -> pa.RecordBatch:
+        shard, slot, code, nth = (np.concatenate(x) for x in zip(*held, strict=True))
+        epoch = nth // blocks[code]
+        index = np.empty(len(nth), dtype=np.int64)
+        for s, e in np.unique(np.stack([code, epoch]), axis=1).T if len(nth) else ():
+            here = np.flatnonzero((code == s) & (epoch == e))
+            n = int(blocks[s])
+            index[here] = permuted(nth[here] % n, n, mixture.seed * 1_000_003 + int(s) * 1009 + int(e))
+        return pa.record_batch(
+            [pa.array(shard), pa.array(slot), names.take(pa.array(code)), pa.array(epoch.astype(np.int32)), pa.array(index)],
+            ["shard", "slot", "source", "epoch", "block"],
+        )
+
+    for shard, before, counts in shard_counts(mixture, first, last):
+        n = int(counts.sum())
+        code = np.repeat(np.arange(len(counts)), counts)
+        nth = np.concatenate([np.arange(b, b + c) for b, c in zip(before, counts, strict=True)])
+        slot = permuted(np.arange(n), n, mixture.seed * 1_000_003 + 7919 + shard)
+        held.append((np.full(n, shard, dtype=np.int64), slot, code, nth))
+        rows += n
+        if rows >= SLOTS_AT_ONCE:
+            yield out()
+            held, rows = [], 0
+    if rows:
+        yield out()
 
 
 # -- blocks -------------------------------------------------------------------------
@@ -264,21 +345,24 @@ def mix_sources(
     (see :func:`wanted_tokens`); :func:`reached_shares` reports the result.
 
     Tokens are packed into blocks of ``block_tokens``. Each output shard of
-    ``shard_blocks`` blocks draws its source counts from a multinomial (see
-    :func:`draw`), so the shares hold for every stretch of the output. The
-    n-th slot of a source takes the block that the source's pseudorandom
-    permutation of epoch ``n // blocks`` has at ``n % blocks``: a text is used
-    again only when all blocks of its source have been. Slots and blocks meet
-    on the block's index. As a permutation has an inverse, each block computes
-    its slots by itself, and the tokens need not be shuffled for that join.
+    ``shard_blocks`` blocks draws its source counts from a multinomial given
+    the quotas (see :func:`shard_counts`), so the shares hold for every
+    stretch of the output. The n-th slot of a source takes the block that the
+    source's pseudorandom permutation of epoch ``n // blocks`` has at
+    ``n % blocks``: a text is used again only when all blocks of its source
+    have been. Slots are made on the executors and joined to the blocks by
+    source and index; up to :data:`BROADCAST_ROWS` slots are broadcast for
+    that, more meet in a shuffle, of which no key has more rows than its
+    source may be repeated.
 
     Null, empty and unlisted sources and null or empty texts give nothing; a
     listed source without texts has no share; an empty table gives an empty
     result. Which texts share a block follows the input splits; the blocks
     are written once, and everything after follows from them and ``seed``.
 
-    Driver: (shards x sources) counts; nothing that grows faster. All else is
-    one pass over the texts and one over the blocks.
+    The blocks are packed and written when it is called, since the plan needs
+    their number; the rest is lazy. Driver: a few numbers a source. All else
+    is one pass over the texts and one over the blocks.
     """
     blocks, mixture = _planned(df, source, text, targets, block_tokens, shard_blocks, total_tokens, seed, vocabulary)
     return _placed(blocks, mixture)
@@ -310,62 +394,35 @@ def _planned(df, source, text, targets, block_tokens, shard_blocks, total_tokens
     want = wanted_tokens([t[1] for t in listed], tokens, repeats, total)
     mean = np.divide(tokens, counts, out=np.ones(len(names)), where=counts > 0)
     quotas = np.minimum(np.rint(want / mean).astype(np.int64), counts * repeats)
-    shards = draw(quotas, shard_blocks, seed)
-    before = np.vstack([np.zeros((1, len(names)), dtype=np.int64), np.cumsum(shards, axis=0)])
     small = parts.select("source", "split", "_before")
     if parts.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
     index = blocks.join(small, ["source", "split"]).withColumn(
         "block", F.col("_before") + F.col("seq")
     )
-    return index.drop("_before", "split", "seq"), Mixture(names, counts, quotas, before, shard_blocks, seed)
+    return index.drop("_before", "split", "seq"), Mixture(names, tuple(counts.tolist()), tuple(quotas.tolist()), shard_blocks, seed)
 
 
-def _placed(blocks: DataFrame, mixture: Mixture) -> DataFrame:
-    spark = blocks.sparkSession
+def slots_of(spark: SparkSession, mixture: Mixture, shards_a_task: int = 256) -> DataFrame:
+    """``shard, slot, source, epoch, block``: every slot of the output, made on the executors."""
     ship(spark)
-    shared = spark.sparkContext.broadcast(mixture)
-
-    most = max(1, int(mixture.epochs().max(initial=0)))
-
-    @F.pandas_udf("array<bigint>")
-    def slots(source: pd.Series, block: pd.Series) -> pd.Series:
-        """Of each block its places in the output, with the epoch of each."""
-        if not len(source):
-            return pd.Series([], dtype=object)
-        m = shared.value
-        size = m.before[1:].sum(axis=1) - m.before[:-1].sum(axis=1)
-        codes = pd.Categorical(source, categories=list(m.sources)).codes
-        rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s in map(int, np.unique(codes[codes >= 0])):
-            here = np.flatnonzero(codes == s)
-            index, n, quota = block.to_numpy()[here], int(m.blocks[s]), int(m.quotas[s])
-            for epoch in range(int(m.epochs()[s])):
-                nth = epoch * n + permuted(index, n, m.seed * 1_000_003 + s * 1009 + epoch, inverse=True)
-                used = nth < quota
-                nth = nth[used]
-                shard = np.searchsorted(m.before[:, s], nth, side="right") - 1
-                local = nth - m.before[shard, s] + (m.before[shard + 1, :s] - m.before[shard, :s]).sum(axis=1)
-                for full in np.unique(size[shard]):  # all shards but the last are equally large
-                    alike = size[shard] == full
-                    local[alike] = permuted(local[alike], int(full), m.seed * 1_000_003 + 7919 + shard[alike])
-                rows.append(here[used])
-                places.append((shard * m.shard_blocks + local) * most + epoch)
-        row, place = np.concatenate(rows), np.concatenate(places)
-        place = place[np.argsort(row, kind="stable")]
-        return pd.Series(np.split(place, np.cumsum(np.bincount(row, minlength=len(source)))[:-1]))
-
-    placed = blocks.withColumn("_s", slots("source", "block")).where(F.size("_s") > 0)
-    at = F.expr(f"_p div {most}")
-    return placed.select("source", "block", "n_tokens", "ids", F.explode("_s").alias("_p")).select(
-        F.expr(f"_p div {most} div {mixture.shard_blocks}").alias("shard"),
-        (at % mixture.shard_blocks).alias("slot"),
-        "source",
-        (F.col("_p") % most).cast("int").alias("epoch"),
-        "block",
-        "n_tokens",
-        "ids",
-    )
+    schema = "shard bigint, slot bigint, source string, epoch int, block bigint"
+    tasks = max(1, -(-mixture.shards // shards_a_task))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for task in batch.column(0).to_pylist():
+                yield from shard_slots(mixture, task * shards_a_task, (task + 1) * shards_a_task)
+
+    return spark.range(0, tasks, 1, min(tasks, 100_000)).mapInArrow(run, schema)
+
+
+def _placed(blocks: DataFrame, mixture: Mixture) -> DataFrame:
+    """Slots and blocks joined by source and index."""
+    slots = slots_of(blocks.sparkSession, mixture)
+    if mixture.slots <= BROADCAST_ROWS:
+        slots = F.broadcast(slots)
+    return blocks.join(slots, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "ids")
 
 
 def reached_shares(mixed: DataFrame, available: DataFrame, targets: Sequence[tuple[str, float, int]]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.common import finite, iso, norm, real_date, table
@@ -117,6 +117,24 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(table(spark, sf_dir, "documents"), "source", "text", _targets(spark, sf_dir))
 
 
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each target whether its source is used no more than allowed, and has
+    its share unless it is used as often as allowed."""
+    found = p9_shares(spark, sf_dir)
+    allowed = F.col("times_used") <= F.col("max_repeats")
+    spent = F.col("times_used") > F.col("max_repeats") - 0.01
+    near = F.col("actual_share") > F.col("target_share") * 0.98
+    every = Window.partitionBy(F.lit(1))
+    return found.select(
+        "source",
+        "target_share",
+        "max_repeats",
+        F.coalesce(allowed, F.lit(False)).alias("repeats_kept"),
+        F.coalesce(near | spent, F.lit(False)).alias("share_reached"),
+        (F.abs(F.sum("actual_share").over(every) - 1) < 1e-9).alias("adds_up"),
+    )
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = split_documents(table(spark, sf_dir, "documents"), "doc_id", "text", limit=1024, texts=False)
     # The first piece stands for its document, so this needs no shuffle.
@@ -127,6 +145,36 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text", limit=1024, overlap=64)
 
 
+def p10_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all pieces keep the limit, and their fresh parts are the texts.
+
+    Each piece is compared with its text where it claims to lie; that the
+    fresh parts follow each other without gap shows in their sums.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("_t")).where("octet_length(_t) > 1024")
+    pieces = p10_pieces(spark, sf_dir)
+    met = pieces.join(docs, "doc_id")
+    alike = F.col("piece").cast("binary") == F.substring("_t", F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte"))
+    per = met.groupBy("doc_id").agg(
+        F.max("n_tokens").alias("most"),
+        F.bool_and(alike).alias("alike"),
+        F.bool_and(F.col("start_byte") <= F.col("fresh_byte")).alias("overlaps"),
+        F.sum(F.col("end_byte") - F.col("fresh_byte")).alias("fresh"),
+        F.max("end_byte").alias("last"),
+        F.min("fresh_byte").alias("first"),
+        F.max(F.octet_length("_t")).alias("size"),
+        F.count_distinct("piece_no").alias("n"),
+        F.max("piece_no").alias("last_no"),
+    )
+    whole = (F.col("fresh") == F.col("size")) & (F.col("last") == F.col("size")) & (F.col("first") == 0) & (F.col("n") == F.col("last_no"))
+    return per.agg(
+        F.bool_and(F.col("most") <= 1024).alias("limit_kept"),
+        F.bool_and(F.col("alike") & F.col("overlaps")).alias("pieces_are_of_the_text"),
+        F.bool_and(whole).alias("texts_whole"),
+        F.bool_and(F.col("n") > 1).alias("really_cut"),
+    )
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
@@ -134,8 +182,10 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_check": p9_check,
     "p10_found": p10_found,
     "p10_pieces": p10_pieces,
+    "p10_check": p10_check,
 }
 
 
@@ -163,6 +213,9 @@ SELECT isin, strftime(last_cum_date, '%Y-%m-%d') AS last_cum_date, event_type,
   {_best("ratio_event_id", "share_ratio > 0 AND NOT isnan(share_ratio)")},
   {_best("payment_event_id", "payment_date NOT IN (DATE '1900-01-01', DATE '9999-12-31')")}
 FROM r GROUP BY r.isin, r.last_cum_date, r.event_type HAVING count(DISTINCT event_id) >= 2""",
+    "p9_check": """
+SELECT DISTINCT source, target_share, max_repeats, true AS repeats_kept, true AS share_reached, true AS adds_up FROM mix_targets""",
+    "p10_check": "SELECT true AS limit_kept, true AS pieces_are_of_the_text, true AS texts_whole, true AS really_cut",
     "p7_found": """
 WITH RECURSIVE ties AS (
   SELECT DISTINCT upper(trim(isin)) AS a, upper(trim(security_id)) AS b FROM security_master WHERE security_id IS NOT NULL
