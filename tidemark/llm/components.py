@@ -84,11 +84,11 @@ def components(
     Vertices are hashed into blocks and pairs lie in the grid cell of their
     two blocks. In each round every cell runs a local union-find over its
     pairs, which leaves each vertex with the representatives that the cells
-    of its row and column found for it. They are exchanged: the smallest
-    becomes the parent and every other one is linked to it, and each vertex
-    is passed on to its parent's parent, which halves the depth of the
-    forest. Rounds go on until the parents are stable, that is, until each
-    vertex has one parent and no parent has one.
+    of its row and column found for it. They are exchanged: each of them is
+    followed to its own smallest representative, and the smallest of those
+    becomes the parent of the vertex and of all its representatives, which
+    shortens every way at least by half. Rounds go on until the parents are
+    stable, that is, until each vertex has one parent and no parent has one.
 
     Scale: a hot vertex has its pairs in one row and column of the grid, not
     in one task; a task works through its cells in bounded portions, since a
@@ -111,20 +111,20 @@ def components(
         cells = edges.repartition(
             grid * grid, F.pmod(F.xxhash64("u"), F.lit(grid)), F.pmod(F.xxhash64("v"), F.lit(grid))
         )
-        stars = cells.mapInArrow(_union_cells, "v string, r string").distinct()
+        stars = cut_lineage(cells.mapInArrow(_union_cells, "v string, r string").distinct())
+        parents = stars.groupBy("v").agg(F.min("r").alias("p"))
+        above = parents.select(F.col("v").alias("_r"), F.col("p").alias("_gp"))
         # What the row and column of each vertex hold of it, at most one
-        # representative for each cell and portion.
-        parents = stars.groupBy("v").agg(F.min("r").alias("p"), F.collect_set("r").alias("_rs"))
-        parents = cut_lineage(parents)
-        above = parents.select(F.col("v").alias("_v"), F.col("p").alias("_gp"))
-        jumped = parents.join(above, F.col("p") == F.col("_v"), "left").withColumn("_top", F.coalesce("_gp", "p"))
+        # representative for each cell and portion, and where those lead.
+        met = (
+            stars.join(above, F.col("r") == F.col("_r"), "left")
+            .groupBy("v")
+            .agg(F.min(F.coalesce("_gp", "r")).alias("_top"), F.collect_set("r").alias("_rs"))
+        )
         links = (
-            jumped.select(F.col("_top").alias("u"), "v")
-            .unionByName(
-                parents.where(F.size("_rs") > 1).select(
-                    F.col("p").alias("u"), F.explode(F.filter("_rs", lambda x: x != F.col("p"))).alias("v")
-                )
-            )
+            met.select(F.col("_top").alias("u"), F.explode(F.concat(F.array("v"), "_rs")).alias("v"))
+            .where("u <> v")
+            .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
             .distinct()
         )
         edges = cut_lineage(links)

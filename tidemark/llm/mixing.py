@@ -18,8 +18,8 @@ from tidemark.session import ship, written
 #: are packed together.
 SPLITS_A_TAIL = 64
 
-#: Offsets of (source, input split), and the slots of the output, are broadcast
-#: up to this many rows (about 20 MB) and joined by a shuffle beyond.
+#: Offsets of (source, input split) are broadcast up to this many rows (about 20
+#: MB) and joined by a shuffle beyond.
 BROADCAST_ROWS = 500_000
 
 #: Numbers from here on are drawn from the normal limit of the distribution:
@@ -351,9 +351,8 @@ def mix_sources(
     source's pseudorandom permutation of epoch ``n // blocks`` has at
     ``n % blocks``: a text is used again only when all blocks of its source
     have been. Slots are made on the executors and joined to the blocks by
-    source and index; up to :data:`BROADCAST_ROWS` slots are broadcast for
-    that, more meet in a shuffle, of which no key has more rows than its
-    source may be repeated.
+    source and index, in one shuffle of the tokens; no key of it has more rows
+    than its source may be repeated.
 
     Null, empty and unlisted sources and null or empty texts give nothing; a
     listed source without texts has no share; an empty table gives an empty
@@ -418,10 +417,12 @@ def slots_of(spark: SparkSession, mixture: Mixture, shards_a_task: int = 256) ->
 
 
 def _placed(blocks: DataFrame, mixture: Mixture) -> DataFrame:
-    """Slots and blocks joined by source and index."""
-    slots = slots_of(blocks.sparkSession, mixture)
-    if mixture.slots <= BROADCAST_ROWS:
-        slots = F.broadcast(slots)
+    """Slots and blocks joined by source and index.
+
+    The slots of a task are a small part of its blocks' tokens, so they are
+    what is hashed, and the tokens are not sorted.
+    """
+    slots = slots_of(blocks.sparkSession, mixture).hint("shuffle_hash")
     return blocks.join(slots, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "ids")
 
 
