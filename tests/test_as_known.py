@@ -43,3 +43,19 @@ def test_corrections_are_not_seen_early(spark):
 def test_empty_tables(spark):
     assert run(spark, [], [("a", 0, 0, "X", None)]) == {}
     assert run(spark, [(1, "a", 0)], []) == {1: (None, None, False)}
+
+
+def test_histories_are_each_attributes_own(spark):
+    from tidemark.operators.as_known import change_histories
+
+    rows = [("a", day(0), day(0), "X", 1), ("a", day(1), day(1), "X", 2), ("a", day(2), day(2), "Y", 2), ("a", day(3), day(3), "Y", None)]
+    v = spark.createDataFrame(rows, "key string, f date, k date, ticker string, n int")
+    found = change_histories(v, "key", "f", "k", ["ticker", "n"]).collect()
+    assert sorted((r._since, r._v.v0) for r in found if r._attr == 0) == [(day(0), "X"), (day(2), "Y")]
+    assert [(r._since, r._v.v1) for r in sorted(found, key=lambda r: r._since) if r._attr == 1] == [(day(0), 1), (day(1), 2), (day(3), None)]
+
+
+def test_a_tie_is_one_version_for_all_attributes(spark):
+    versions = [("a", 0, 0, "P", 5), ("a", 0, 0, "Q", None), ("a", 0, 0, "R", 50)]
+    got = run(spark, [(1, "a", 3)], versions)
+    assert got[1][:2] in {("P", day(5)), ("Q", None), ("R", day(50))}

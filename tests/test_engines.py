@@ -81,6 +81,21 @@ def test_asof_ties_and_nulls(spark):
     assert ahead == {1: 50, 2: 50, 3: None, 4: None, 5: None}
 
 
+@pytest.mark.parametrize("width", [None, 1, 3, 1461])
+def test_asof_in_stretches_equals_a_loop(spark, width):
+    rng = random.Random(4)
+    lefts = [(n, rng.choice(["a", "b", None]), None if rng.random() < 0.1 else rng.randint(0, 60)) for n in range(200)]
+    rights = {(rng.choice("ab"), rng.randint(0, 60)): i for i in range(25)}
+    left = spark.createDataFrame([(n, k, t, None if t is None else dt.datetime(2024, 1, 1) + dt.timedelta(hours=9 * t)) for n, k, t in lefts], "n int, k string, i int, t timestamp")
+    right = spark.createDataFrame([(k, t, dt.datetime(2024, 1, 1) + dt.timedelta(hours=9 * t), v) for (k, t), v in rights.items()], "k string, j int, u timestamp, v int")
+    for at in (("i", "j"), ("t", "u")):
+        for direction, pick in (("backward", max), ("forward", min)):
+            got = {r.n: r.v for r in joins.asof(left, right, "k", at, ["v"], direction=direction, slice_width=width).collect()}
+            for n, k, t in lefts:
+                ok = [u for h, u in rights if h == k and t is not None and (u <= t if pick is max else u >= t)]
+                assert got[n] == (rights[k, pick(ok)] if ok else None)
+
+
 def test_multiset_union(spark):
     a, b = (spark.createDataFrame([(x,) for x in t], "x string") for t in ("aab", "abbb"))
     assert sorted(r.x for r in joins.multiset_union([a, b]).collect()) == list("aabbb")

@@ -2,9 +2,9 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from tidemark.operators.snapshots import _cells, _checks, peel, snapshot_changes, xxhash64_longs
+from tidemark.operators import snapshots
+from tidemark.operators.snapshots import Tables, differing, snapshot_changes
 
 SCHEMA = "s int, k1 string, k2 string, v double, w string, snapshot string"
 
@@ -60,21 +60,41 @@ def test_one_snapshot_or_none(spark):
         assert snapshot_changes(df, "s", ["k1", "k2"], ["v", "w"]).collect() == []
 
 
-def test_hash_is_sparks(spark):
-    df = spark.createDataFrame([(1, -5), (2**62, 0)], "a bigint, b bigint")
-    want = [r[0] for r in df.select(F.xxhash64("a", "b")).collect()]
-    assert xxhash64_longs(np.array([1, 2**62]), np.array([-5, 0])).tolist() == want
+def test_small_portions(spark, monkeypatch):
+    rows = made(5)
+    monkeypatch.setattr(snapshots, "PAIRS_AT_ONCE", 50)
+    got = snapshot_changes(spark.createDataFrame(rows, SCHEMA), "s", ["k1", "k2"], ["v", "w"], bucket_rows=20)
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+
+
+def test_a_key_with_many_values(spark):
+    rows = [(s, "hot", "x", float(i), "", "") for s in (1, 2) for i in range(3000 + s)] + [(s, "still", "x", 1.0, "", "") for s in (1, 2)]
+    got = snapshot_changes(spark.createDataFrame(rows, SCHEMA), "s", ["k1", "k2"], ["v", "w"], bucket_rows=100)
+    assert [tuple(r) for r in got.collect()] == [(2, "hot", "x", "changed")]
 
 
 def test_peel_recovers_or_says_so():
     rng = np.random.default_rng(3)
     k, v = (rng.integers(-(2**62), 2**62, 60) for _ in range(2))
-    s = rng.choice([-1, 1], 60)
-    for cells, done in ((240, True), (30, False)):
-        c, kx, vx, x = (np.zeros(cells, dtype=np.int64) for _ in range(4))
-        for row in _cells(k, v, 0, cells):
-            np.add.at(c, row, s), np.bitwise_xor.at(kx, row, k), np.bitwise_xor.at(vx, row, v), np.bitwise_xor.at(x, row, _checks(k, v))
-        gk, gv, gs, ok = peel(np.arange(cells), c, kx, vx, x, 0, cells)
-        assert ok is done
+    s, t = rng.choice([-1, 1], 60), np.repeat([0, 2], 30)
+    for cells, done in ((120, True), (15, False)):
+        tables = Tables(3, cells, 0)
+        tables.add(t, k, v, s)
+        gt, gk, gv, gs, empty = tables.peel()
+        assert empty.tolist() == [done, True, done]
         if done:
-            assert set(zip(gk, gv, gs)) == set(zip(k, v, s))
+            assert set(zip(gt, gk, gv, gs)) == set(zip(t, k, v, s))
+
+
+@pytest.mark.parametrize("cells,rounds", [(384, 5), (9, 3), (3, 1)])
+def test_differences_of_whole_buckets(cells, rounds):
+    rng = np.random.default_rng(cells)
+    base = rng.integers(-(2**62), 2**62, (4000, 2))
+    sides = [base[rng.random(4000) > 0.02] for _ in range(4)]
+    number = np.concatenate([np.full(len(x), n) for n, x in enumerate(sides)])
+    rows = np.concatenate(sides)
+    bucket = (rows[:, 0] % 7).astype(np.int64)
+    delta, key = differing(bucket, number, rows[:, 0].copy(), rows[:, 1].copy(), 3, cells, 4, rounds)
+    have = [set(map(tuple, x)) for x in sides]
+    want = {(d, k) for d in (1, 2, 3) for k, _ in have[d - 1] ^ have[d]}
+    assert set(zip(delta.tolist(), key.tolist())) == want and len(delta) == len(want)

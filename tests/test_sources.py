@@ -177,6 +177,18 @@ def test_workbooks(spark, tmp_path):
         with pytest.raises(FormatError):
             workbooks.read_workbook(spark, book(tmp_path / "bad.xlsx", bad))
     assert workbooks.read_title("Virada da carteira para Maio de 2020").source == "definitive"
+    for title, kind, period in (
+        ("2a  PRÉVIA - Carteira para janeiro a abril de 2019", "second_preview", "2019-01"),
+        ("Terceira prévia para Maio a Agosto de 2021", "third_preview", "2021-05"),
+        ("2ª Prévia do IBrX para Setembro de 2008", "second_preview", "2008-09"),
+    ):
+        assert workbooks.read_title(title) == workbooks.Title(kind, period)
+    for odd in (
+        "1ª prévia para Maio de 2020", "2ª prévia, virada para Maio de 2020", "Virada para Junho de 2020", "Virada para Maio e Junho de 2020",
+        "Virada para Maio de 20", "Virada de Maio", "",
+    ):
+        with pytest.raises(FormatError):
+            workbooks.read_title(odd)
 
 
 def test_compositions(spark, tmp_path):
@@ -188,6 +200,29 @@ def test_compositions(spark, tmp_path):
         feeds.read_compositions(spark, str(p))
 
 
+def test_a_replacement_that_fails_keeps_the_table(spark, tmp_path, monkeypatch):
+    from tidemark.sources import files
+
+    store = Store.initialize(f"file://{tmp_path}")
+    store.replace(spark.range(3), "curated", "t")
+    real = files.HadoopFiles.rename
+
+    def failing(self, old, new):
+        return False if old.endswith(".new") else real(self, old, new)
+
+    monkeypatch.setattr(files.HadoopFiles, "rename", failing)
+    with pytest.raises(StoreError, match="could not take the place"):
+        store.replace(spark.range(5), "curated", "t")
+    assert store.read(spark, "curated", "t").count() == 3
+    # A crash between the two renames leaves the old table aside.
+    monkeypatch.undo()
+    (tmp_path / "curated" / "t").rename(tmp_path / "curated" / "t.old")
+    assert store.read(spark, "curated", "t").count() == 3
+    store.replace(spark.range(5), "curated", "t")
+    assert store.read(spark, "curated", "t").count() == 5 and not (tmp_path / "curated" / "t.old").exists()
+    assert store.path("raw", "a", "b").startswith("file:///") and Store.open(f"file://{tmp_path}").root == store.root
+
+
 def test_store(spark, tmp_path):
     with pytest.raises(StoreError):
         Store.open(str(tmp_path))

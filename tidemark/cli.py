@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import glob
 import sys
 from collections.abc import Sequence
 
@@ -47,11 +46,12 @@ def _with_spark(args: argparse.Namespace, store: Store) -> int:
 
     from tidemark.operators.identity import spans
     from tidemark.session import get_session
+    from tidemark.sources.files import files
     from tidemark.sources.fixed_width import read_annual
 
     spark = get_session("tidemark", args.master)
     if args.command == "ingest":
-        paths = sorted({p for pattern in args.files for p in glob.glob(pattern)})
+        paths = sorted({p for pattern in args.files for p in files(spark).matching(pattern)})
         if not paths:
             raise FileNotFoundError(f"no file matches {' '.join(args.files)}")
         rows = read_annual(spark, paths).select(

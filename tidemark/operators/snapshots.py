@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, ship, written
+from tidemark.session import cut_lineage, ship
 
 #: Cells a record goes into.
 HASHES = 3
@@ -18,85 +19,181 @@ HASHES = 3
 #: their records without a shuffle of all; beyond, the join is Spark's.
 BROADCAST_ROWS = 500_000
 
-# The constants of the public xxHash64 algorithm.
-_P1, _P2, _P3, _P4, _P5 = (
-    np.uint64(x)
-    for x in (
-        0x9E3779B185EBCA87,
-        0xC2B2AE3D27D4EB4F,
-        0x165667B19E3779F9,
-        0x85EBCA77C2B2AE63,
-        0x27D4EB2F165667C5,
-    )
-)
+#: Pairs whose buckets a task decodes at a time.
+PAIRS_AT_ONCE = 400_000
 
 
-def xxhash64_longs(*columns: np.ndarray, seed: int = 42) -> np.ndarray:
-    """What Spark's ``xxhash64`` gives for non-null bigint columns."""
+def mix64(x: np.ndarray) -> np.ndarray:
+    """The finalizer of the public SplitMix64 generator (its constants are fixed values)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
-    def rotated(x: np.ndarray, by: int) -> np.ndarray:
-        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
-    out = np.full(len(columns[0]), seed, dtype=np.uint64)
+def _joint(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """One number for each pair."""
     with np.errstate(over="ignore"):
-        for column in columns:
-            x = column.astype(np.int64).view(np.uint64)
-            out = out + _P5 + np.uint64(8)
-            out = out ^ (rotated(x * _P2, 31) * _P1)
-            out = rotated(out, 27) * _P1 + _P4
-            out = (out ^ (out >> np.uint64(33))) * _P2
-            out = (out ^ (out >> np.uint64(29))) * _P3
-            out = out ^ (out >> np.uint64(32))
-    return out.view(np.int64)
+        return mix64(keys.view(np.uint64) + mix64(values.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _checks(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return xxhash64_longs(np.full(len(keys), -1, dtype=np.int64), keys, values)
+def _salted(joint: np.ndarray, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(joint + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _cells(keys: np.ndarray, values: np.ndarray, salt: int, cells: int) -> np.ndarray:
-    part = cells // HASHES
-    return np.stack(
-        [
-            xxhash64_longs(np.full(len(keys), salt * HASHES + j, dtype=np.int64), keys, values) % part + j * part
-            for j in range(HASHES)
-        ]
-    )
-
+def _checks(joint: np.ndarray) -> np.ndarray:
+    return _salted(joint, 1 << 32).view(np.int64)
 
-def peel(
-    cell: np.ndarray, count: np.ndarray, key: np.ndarray, value: np.ndarray, check: np.ndarray, salt: int, cells: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Keys, value hashes and signs recovered from one subtracted table.
 
-    A cell that holds one record (count of 1 or -1 and a check that fits) gives
-    that record away; it is taken out of its other cells, which may then hold
-    one record each, and so on. The last result tells whether all cells are
-    empty in the end.
+def _cells(joint: np.ndarray, salt: int, cells: int) -> Iterator[np.ndarray]:
+    """The place of each pair in each part of a table."""
+    part = cells // HASHES
+    for j in range(HASHES):
+        h = _salted(joint, 1 + salt * HASHES + j) >> np.uint64(32)
+        yield ((h * np.uint64(part)) >> np.uint64(32)).astype(np.int64) + j * part
+
+
+class Tables:
+    """Many tables of equal size: in each cell the number of pairs and the
+    (wrapping) sums of their keys, values and checks."""
+
+    def __init__(self, number: int, cells: int, salt: int) -> None:
+        self.number, self.cells, self.salt = number, cells // HASHES * HASHES, salt
+        self.sums = np.zeros((4, number * self.cells), dtype=np.int64)
+
+    def add(self, table: np.ndarray, keys: np.ndarray, values: np.ndarray, signs: np.ndarray) -> None:
+        joint = _joint(keys, values)
+        checks = _checks(joint)
+        with np.errstate(over="ignore"):
+            amounts = (signs, keys * signs, values * signs, checks * signs)
+            for cell in _cells(joint, self.salt, self.cells):
+                at = table * self.cells + cell
+                for sums, amount in zip(self.sums, amounts, strict=True):
+                    np.add.at(sums, at, amount)
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``table, key, value, sign`` of all pairs that come off, and which tables are empty then.
+
+        A cell that holds one pair (a count of 1 or -1 and a check that fits)
+        gives that pair away; it is taken out of its other cells, which may
+        then hold one pair each, and so on, in all tables at once.
+        """
+        found: list[tuple[np.ndarray, ...]] = []
+        count, key, value, check = self.sums
+        look = np.flatnonzero(np.abs(count) == 1)
+        # Each pair has a few cells, so a table that decodes is empty by then.
+        for _ in range(4 * self.cells):
+            sign = count[look]
+            with np.errstate(over="ignore"):
+                k, v, x = key[look] * sign, value[look] * sign, check[look] * sign
+            pure = (np.abs(sign) == 1) & (_checks(_joint(k, v)) == x)
+            if not pure.any():
+                break
+            rows = pd.DataFrame({"t": look[pure] // self.cells, "k": k[pure], "v": v[pure], "s": sign[pure]})
+            t, k, v, s = (c.to_numpy() for _, c in rows.drop_duplicates(["t", "k", "v"]).items())
+            self.add(t, k, v, -s)
+            found.append((t, k, v, s))
+            joint = _joint(k, v)
+            look = np.unique(np.concatenate([t * self.cells + c for c in _cells(joint, self.salt, self.cells)]))
+        empty = ~self.sums.reshape(4, self.number, self.cells).any(axis=(0, 2))
+        none = np.zeros(0, dtype=np.int64)
+        t, k, v, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none,) * 4
+        return t, k, v, s, empty
+
+
+def differing(
+    bucket: np.ndarray, number: np.ndarray, keys: np.ndarray, values: np.ndarray, last: int, cells: int, growth: int, rounds: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """``delta, key`` of the pairs that only one of two consecutive snapshots has.
+
+    ``number`` is the snapshot (0 .. ``last``) of a pair, delta d the step from
+    d - 1 to d. Table (bucket, d) is the later one's minus the earlier one's.
+    A table that does not empty, or whose pairs do not add up to the
+    difference of the digests, is built again ``growth`` times as large; what
+    still fails after ``rounds`` is compared pair by pair.
     """
-    c, k, v, x = (np.zeros(cells, dtype=np.int64) for _ in range(4))
-    c[cell], k[cell], v[cell], x[cell] = count, key, value, check
-    keys, values, signs = [], [], []
-    while True:
-        pure = np.flatnonzero(np.abs(c) == 1)
-        pure = pure[_checks(k[pure], v[pure]) == x[pure]]
-        if not len(pure):
+    names, place = np.unique(bucket, return_inverse=True)
+    steps = last
+    # Each pair is the later side of one step and the earlier of the next.
+    later, earlier = number >= 1, number < last
+    table = np.concatenate([place[later] * steps + number[later] - 1, place[earlier] * steps + number[earlier]])
+    sign = np.concatenate([np.ones(later.sum(), dtype=np.int64), np.full(earlier.sum(), -1, dtype=np.int64)])
+    k, v = np.concatenate([keys[later], keys[earlier]]), np.concatenate([values[later], values[earlier]])
+    digest = _salted(_joint(k, v), 1 << 33).view(np.int64)
+    todo = np.arange(len(names) * steps)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    size = cells
+    for salt in range(rounds):
+        slot = np.full(len(names) * steps, -1, dtype=np.int64)
+        slot[todo] = np.arange(len(todo))
+        if salt:
+            here = slot[table] >= 0
+            table, sign, k, v, digest = (x[here] for x in (table, sign, k, v, digest))
+        tables = Tables(len(todo), size, salt)
+        if salt == 0:
+            _fill_whole(tables, place, number, keys, values, steps)
+        else:
+            tables.add(slot[table], k, v, sign)
+        t, pk, pv, ps, good = tables.peel()
+        # What came off must be what the digests of the two sides differ by.
+        sums = np.zeros((2, len(todo)), dtype=np.int64)
+        with np.errstate(over="ignore"):
+            np.add.at(sums[0], slot[table], sign), np.add.at(sums[1], slot[table], digest * sign)
+            np.subtract.at(sums[0], t, ps), np.subtract.at(sums[1], t, _salted(_joint(pk, pv), 1 << 33).view(np.int64) * ps)
+        good &= ~sums.any(axis=0)
+        mine = good[t]
+        out.append((todo[t[mine]] % steps + 1, pk[mine]))
+        todo = todo[~good]
+        if not len(todo):
             break
-        pairs = pd.DataFrame({"k": k[pure], "v": v[pure], "s": c[pure]}).drop_duplicates(["k", "v"])
-        pk, pv, ps = (pairs[n].to_numpy() for n in ("k", "v", "s"))
-        at, px = _cells(pk, pv, salt, cells), _checks(pk, pv)
-        for row in at:
-            np.subtract.at(c, row, ps)
-            np.bitwise_xor.at(k, row, pk)
-            np.bitwise_xor.at(v, row, pv)
-            np.bitwise_xor.at(x, row, px)
-        keys.append(pk), values.append(pv), signs.append(ps)
-        if sum(map(len, keys)) > 4 * cells:  # a false check in a loop
-            return (*(np.zeros(0, dtype=np.int64),) * 3, False)
-    done = not (c.any() or k.any() or v.any() or x.any())
-    if not keys:
-        return (*(np.zeros(0, dtype=np.int64),) * 3, done)
-    return np.concatenate(keys), np.concatenate(values), np.concatenate(signs), done
+        size *= growth
+    if len(todo):
+        left = np.isin(table, todo)
+        rest = pd.DataFrame({"t": table[left], "k": k[left], "v": v[left], "s": sign[left]})
+        lone = rest.groupby(["t", "k", "v"], sort=False)["s"].sum()
+        lone = lone[lone != 0].reset_index()
+        out.append((lone["t"].to_numpy() % steps + 1, lone["k"].to_numpy()))
+    delta, key = (np.concatenate(x) for x in zip(*out, strict=True))
+    return delta, key
+
+
+def _fill_whole(tables: Tables, place: np.ndarray, number: np.ndarray, keys: np.ndarray, values: np.ndarray, steps: int) -> None:
+    """One table for each bucket and snapshot, and the next one minus each."""
+    snapshots, cells = steps + 1, tables.cells
+    each = Tables(tables.number // steps * snapshots, cells, tables.salt)
+    each.add(place * snapshots + number, keys, values, np.ones(len(keys), dtype=np.int64))
+    with np.errstate(over="ignore"):
+        step = np.diff(each.sums.reshape(4, -1, snapshots, cells), axis=2)
+    tables.sums = np.ascontiguousarray(step).reshape(4, -1)
+
+
+def _decoder(last: int, cells: int, growth: int, rounds: int):
+    """Decodes the buckets of a partition, whose rows come in order of the bucket."""
+
+    def batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+        delta, key = differing(*columns, last, cells, growth, rounds)
+        return pa.record_batch([pa.array(delta.astype(np.int32)), pa.array(key)], ["_d", "_k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append([c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in b.columns])
+            rows += b.num_rows
+            if rows >= PAIRS_AT_ONCE:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                # The last bucket may go on in the next batch.
+                whole = int(np.searchsorted(columns[0], columns[0][-1]))
+                if whole:
+                    yield batch([c[:whole] for c in columns])
+                held, rows = [[c[whole:] for c in columns]], len(columns[0]) - whole
+        if rows:
+            yield batch([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
 
 
 def _hash_of(columns: Sequence[str], seed: int) -> Column:
@@ -130,14 +227,20 @@ def snapshot_changes(
     peeled off the difference. Buckets whose table does not empty, or whose
     recovered pairs do not add up to the difference of the buckets' digests,
     are built again ``growth`` times as large; buckets that still fail after
-    ``max_rounds`` are compared pair by pair in a join of their hashes. The
-    recovered keys then fetch their records, and the kind follows from the
-    actual values, so a hash collision cannot report an unchanged record.
+    ``max_rounds`` are compared pair by pair. The recovered keys then fetch
+    their records, and the kind follows from the actual values, so a hash
+    collision cannot report an unchanged record.
 
     Nulls are values (equal to each other) in keys and values; a row without
     snapshot is left out. Repeats count once. A key with several values in
     one snapshot is changed if the set of its values differs. With fewer than
-    two snapshots, or an empty table, the result is empty. Only the list of
+    two snapshots, or an empty table, the result is empty.
+
+    Scale: copies are reduced map-side, and a bucket is chosen by key and
+    value, so that a key with many values is spread too; a bucket has about
+    ``bucket_rows`` pairs of each snapshot, and a task decodes its buckets in
+    bounded portions. The rows are counted, and the keys that differ are
+    recovered and checkpointed, when this is called; only the list of
     snapshots and counts reach the driver.
     """
     key, values = list(key), list(values)
@@ -152,95 +255,26 @@ def snapshot_changes(
     numbered = rows.join(F.broadcast(numbers), snapshot).withColumns(
         {"_k": _hash_of(key, 1), "_v": _hash_of(values, 2)}
     )
-    buckets = max(1, max((r[1] for r in per_snapshot), default=1) // bucket_rows)
-    pairs = (
-        numbered.groupBy("_n", "_k", "_v").agg(F.lit(1).alias("_one")).withColumn("_b", F.pmod("_k", F.lit(buckets)))
-    ).drop("_one")
-    # Laid out by bucket, so that a task's rows share their cells from here on.
-    pairs = written(pairs.repartition("_b"), "pairs")
     last = max(0, len(per_snapshot) - 1)
-
-    def against(one: DataFrame) -> DataFrame:
-        """Each row once as the later (1) and once as the earlier (-1) side."""
-        return one.withColumn(
-            "_side", F.explode(F.array(F.struct(F.col("_n").alias("d"), F.lit(1).alias("s")), F.struct((F.col("_n") + 1).alias("d"), F.lit(-1).alias("s"))))
-        ).select("*", F.col("_side.d").alias("_d"), F.col("_side.s").alias("_s")).where(
-            (F.col("_d") >= 1) & (F.col("_d") <= last)
-        ).drop("_side")
-
-    digests = against(
-        pairs.groupBy("_n", "_b").agg(F.count("*").alias("_c"), F.bit_xor(F.xxhash64(F.lit(7), "_k", "_v")).alias("_g"))
-    ).groupBy("_d", "_b").agg(F.sum(F.col("_c") * F.col("_s")).alias("_c"), F.bit_xor("_g").alias("_g"))
-    digests = cut_lineage(digests)
-    found = None
-    todo = None
-    size = cells
-    for salt in range(max_rounds):
-        size = size // HASHES * HASHES
-        chosen = pairs
-        if todo is not None:
-            both = todo.select("_b", F.explode(F.array("_d", F.col("_d") - 1)).alias("_n")).distinct()
-            chosen = pairs.join(both, ["_n", "_b"], "left_semi")
-        part = size // HASHES
-        place = F.array(
-            *(
-                (F.pmod(F.xxhash64(F.lit(salt * HASHES + j).cast("bigint"), "_k", "_v"), F.lit(part)) + j * part)
-                for j in range(HASHES)
-            )
-        )
-        xors = {c: F.bit_xor(c).alias(c) for c in ("_k", "_v", "_x")}
-        filled = (
-            chosen.select("_n", "_b", "_k", "_v", F.xxhash64(F.lit(-1).cast("bigint"), "_k", "_v").alias("_x"), F.explode(place).alias("_cell"))
-            .groupBy("_n", "_b", "_cell")
-            .agg(F.count("*").alias("_c"), *xors.values())
-        )
-        table = (
-            against(filled)
-            .groupBy("_d", "_b", "_cell")
-            .agg(F.sum(F.col("_c") * F.col("_s")).alias("_c"), *xors.values())
-            .where("_c <> 0 OR _k <> 0 OR _v <> 0 OR _x <> 0")
-        )
-        if todo is not None:
-            table = table.join(todo, ["_d", "_b"], "left_semi")
-        peeled = table.groupBy("_d", "_b").applyInPandas(
-            _peeler(salt, size), "_d int, _b bigint, _k bigint, _v bigint, _s bigint, _done boolean"
-        )
-        peeled = cut_lineage(peeled)
-        sums = peeled.groupBy("_d", "_b").agg(
-            F.sum("_s").alias("_cs"),
-            F.bit_xor(F.when(F.col("_s") != 0, F.xxhash64(F.lit(7), "_k", "_v"))).alias("_gs"),
-            F.min("_done").alias("_done"),
-        )
-        scope = digests if todo is None else digests.join(todo, ["_d", "_b"], "left_semi")
-        state = scope.join(sums, ["_d", "_b"], "left").select(
-            "_d",
-            "_b",
-            (
-                F.coalesce("_done", F.lit(True))
-                & (F.coalesce("_cs", F.lit(0)) == F.col("_c"))
-                & (F.coalesce("_gs", F.lit(0)) == F.col("_g"))
-            ).alias("_ok"),
-        )
-        state = cut_lineage(state)
-        good = peeled.join(state.where("_ok"), ["_d", "_b"], "left_semi").where("_s <> 0").select("_d", "_k")
-        found = good if found is None else found.union(good)
-        todo = state.where("NOT _ok").select("_d", "_b")
-        if todo.isEmpty():
-            todo = None
-            break
-        size *= growth
-    if todo is not None:
-        rest = against(pairs).join(todo, ["_d", "_b"], "left_semi")
-        found = found.union(rest.groupBy("_d", "_k", "_v").agg(F.sum("_s").alias("_s")).where("_s <> 0").select("_d", "_k"))
+    if last:
+        buckets = max(1, max(r[1] for r in per_snapshot) // bucket_rows)
+        pairs = numbered.select("_n", "_k", "_v").distinct()
+        pairs = pairs.select(F.pmod(F.xxhash64(F.lit(3), "_k", "_v"), F.lit(buckets)).alias("_b"), "_n", "_k", "_v")
+        laid_out = pairs.repartition("_b").sortWithinPartitions("_b")
+        found = laid_out.mapInArrow(_decoder(last, cells, growth, max_rounds), "_d int, _k bigint")
+    else:
+        found = spark.createDataFrame([], "_d int, _k bigint")
     found = cut_lineage(found.distinct())
+    # Both snapshots of a step are asked for its keys.
+    sides = F.inline(F.array(F.struct(F.col("_d").alias("_n"), F.lit(1).alias("_s")), F.struct((F.col("_d") - 1).alias("_n"), F.lit(-1).alias("_s"))))
+    asked = found.select("_d", "_k", sides)
     if found.count() <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    # The kind comes from the records themselves.
-    sides = against(numbered.drop(snapshot)).join(found, ["_d", "_k"], "left_semi")
+        asked = F.broadcast(asked)
     # Of the distinct values of both sides equal ones cancel in the digest, so
     # a key's values are compared without being gathered.
     kinds = (
-        sides.select("_d", *key, "_s", "_v")
+        numbered.join(asked, ["_n", "_k"])
+        .select("_d", *key, "_s", "_v")
         .distinct()
         .groupBy("_d", *key)
         .agg(
@@ -256,18 +290,4 @@ def snapshot_changes(
     return kinds.join(F.broadcast(numbers.withColumnRenamed("_n", "_d")), "_d").select(snapshot, *key, "change_kind")
 
 
-def _peeler(salt: int, cells: int):
-    def run(group: tuple, cell_rows: pd.DataFrame) -> pd.DataFrame:
-        k, v, s, done = peel(
-            *(cell_rows[c].to_numpy() for c in ("_cell", "_c", "_k", "_v", "_x")), salt, cells
-        )
-        if not done:
-            k, v, s = (np.zeros(1, dtype=np.int64),) * 3
-        out = pd.DataFrame({"_k": k, "_v": v, "_s": s})
-        out["_d"], out["_b"], out["_done"] = np.int32(group[0]), group[1], done
-        return out[["_d", "_b", "_k", "_v", "_s", "_done"]]
-
-    return run
-
-
-__all__ = ["peel", "snapshot_changes", "xxhash64_longs"]
+__all__ = ["Tables", "differing", "snapshot_changes"]

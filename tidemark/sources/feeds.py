@@ -71,6 +71,7 @@ def _text(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+# The field names of the feed's documents.
 _SUPPLEMENT = T.StructType(
     [
         T.StructField("stockDividends", T.ArrayType(_text("isinCode", "assetIssued", "label", "factor", "lastDatePrior", "approvedOn"))),
