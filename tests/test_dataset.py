@@ -30,7 +30,7 @@ def lake(spark, tmp_path_factory):
     rows.append((2023, day(0), "a", 1.0, 1.0, 1.0, 1.0, 1.0))  # the smaller of two rows of a key
     bars = spark.createDataFrame(rows, "year int, session date, symbol string, open double, high double, low double, close double, volume double")
     store.replace_partitions(bars, "year", "curated", "bars")
-    store.replace(spark.createDataFrame([("a", day(5), 0.5)], "symbol string, ex_date date, factor double"), "derived", "factors")
+    store.replace(spark.createDataFrame([("a", day(5), 0.5, 0.5, 2.0)], "symbol string, ex_date date, f_total double, f_splits double, share_ratio double"), "derived", "factors")
     store.replace(spark.createDataFrame([("a", "OLD", day(0)), ("a", "NEW", day(6))], "symbol string, label string, first_session date"), "curated", "spans")
     return store
 
@@ -43,7 +43,7 @@ def test_panel(spark, lake):
     assert got["a", day(2)] == (10.0, False) and got["a", day(4)] == (10.0, True) and got["a", day(9)] == (10.0, False)
     assert got["b", day(3)] == (None, False) and got["b", day(9)] == (20.0, True)
     assert {s for s, _ in got} == {"a", "b"} and min(d for _, d in got) == day(2)
-    raw = data.panel(["a"], str(day(0)), str(day(9)), fields=["close"], adjust=False).rows.where(F.col("session") == day(0)).first()
+    raw = data.panel(["a"], str(day(0)), str(day(9)), fields=["close"], mode="raw").rows.where(F.col("session") == day(0)).first()
     assert raw.close == 20.0
     for bad in ((["a"], "2030-01-01", "2030-02-01"),):
         with pytest.raises(ValueError):
@@ -58,7 +58,7 @@ def test_panel(spark, lake):
 
 def test_scan_is_pruned(spark, lake):
     provider = StoreProvider(spark, lake)
-    rows = provider.bars(["a"], "2024-01-01", "2024-01-05", ["close"], adjust=False)
+    rows = provider.bars(["a"], "2024-01-01", "2024-01-05", ["close"], mode="raw")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "high" not in plan
     assert sorted(r.session for r in rows.collect()) == [day(i) for i in range(4, 9)]

@@ -49,7 +49,7 @@ class Dataset:
         warmup: int = 0,
         fields: Sequence[str] = FIELDS,
         anchor: str | None = None,
-        adjust: bool = True,
+        mode: str = "total_return",
     ) -> Panel:
         """Aligned, adjusted bars of everyone ever in, marked where they are in.
 
@@ -68,7 +68,7 @@ class Dataset:
         if first is None:
             raise ValueError(f"there is no session from {start} to {end}")
         early = days.where(F.col("pos") == max(0, first - warmup)).first()["session"]
-        rows = StoreProvider(self.spark, self.store).bars(symbols, str(early), end, fields, anchor=anchor, adjust=adjust)
+        rows = StoreProvider(self.spark, self.store).bars(symbols, str(early), end, fields, anchor=anchor, mode=mode)
         span = days.where(F.col("session").between(F.lit(early), F.lit(end).cast("date")))
         return Panel.from_bars(calendar.align(rows, span), fields).with_universe(inside)
 

@@ -620,7 +620,7 @@ def as_text(long: DataFrame, by: str = "series", metric: str = "metric", value:
 
     def cell(m: str, s: str) -> str:
         v = found.get((m, s))
-        return "n/a" if v is None else f"{v:.0f}" if UNITS.get(m) == "count" else f"{v:.4f}"
+        return "n/a" if v is None else f"{v:.0f}" if m == "observations" or UNITS.get(m) == "count" else f"{v:.4f}"
 
     table = [["", *series], *([m, *(cell(m, s) for s in series)] for m in metrics)]
     widths = [max(len(r[i]) for r in table) for i in range(len(series) + 1)]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.session import ship
 
 
 def daily_totals(
@@ -147,23 +152,86 @@ def trailing(
     )
 
 
-def int_array(values: Sequence[int]) -> Column:
-    """A constant array; folded into one literal however long it is."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+#: Rows of the output that a task computes at a time.
+ROWS_AT_ONCE = 250_000
+
 
+def doubled(series: np.ndarray, levels: int) -> list[np.ndarray]:
+    """Sums of 1, 2, 4 ... 2**levels places that end at each place, along the last axis."""
+    blocks = [series]
+    for k in range(levels):
+        more = blocks[-1].copy()
+        more[..., 2**k :] += blocks[-1][..., : -(2**k)]
+        blocks.append(more)
+    return blocks
 
-def presence(dense: DataFrame, series: str, lengths: Sequence[int]) -> Column:
-    """Share of places above zero in a window that differs from place to place.
 
-    ``lengths[p]`` is the number of calendar positions in the window that ends
-    at position ``p``; ``dense`` is what :func:`dense_series` returns, with
-    the doubling columns ``_p0, _p1 ...`` of its 0/1 series added.
+def window_sums(blocks: Sequence[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+    """Sums over the ``lengths[p]`` places that end at place ``p``, from shifted blocks.
+
+    The window of each place is put together from the blocks of its length's
+    binary digits, the largest at its end; places before the first are zero.
     """
-    levels = max(1, max(lengths, default=1)).bit_length() - 1
-    windows = int_array(lengths)
+    places = np.arange(blocks[0].shape[-1])
+    total = np.zeros_like(blocks[0])
+    for k, block in enumerate(blocks):
+        # The blocks of the lower digits lie between this one and the end.
+        at = places - (lengths & (2**k - 1))
+        taken = np.flatnonzero((lengths >> k & 1 == 1) & (at >= 0))
+        total[..., taken] += block[..., at[taken]]
+    return total
+
+
+def presence(days: DataFrame, entity: str, position: str, value: str, lengths: Mapping[str, Sequence[int]]) -> DataFrame:
+    """Share of positions above zero in windows that differ from position to position.
 
-    def share(i: Column) -> Column:
-        n = F.get(windows, F.col("first_pos") + i)
-        return F.try_divide(sum_at("_p", levels, i, n), n.cast("double"))
+    Result: ``entity, position`` and one column for each of ``lengths``, for
+    every position from the entity's first row to the calendar's last.
+    ``lengths[name][p]`` is the number of calendar positions in the window that
+    ends at position ``p``; the share of an empty window is null. Rows without
+    entity or position are left out; null and NaN are no presence; there is
+    one row per (entity, position).
 
-    return F.transform(F.sequence(F.lit(0), F.size(series) - 1), share)
+    The days above zero of an entity travel as one array no longer than the
+    calendar; the counts come by binary doubling over them, on whole arrays of
+    bounded numbers of entities.
+    """
+    names = list(lengths)
+    spans = [np.asarray(lengths[n], dtype=np.int64) for n in names]
+    size = len(spans[0]) if spans else 0
+    levels = max(1, max((int(x.max(initial=1)) for x in spans), default=1)).bit_length() - 1
+    ship(days.sparkSession)
+    kind = "smallint" if size < 2**15 else "int"
+    packed = (
+        days.where(F.col(entity).isNotNull() & F.col(position).isNotNull())
+        .groupBy(entity)
+        .agg(
+            F.min(position).cast("int").alias("_first"),
+            F.collect_list(F.when((F.col(value) > 0) & ~F.isnan(value), F.col(position).cast(kind))).alias("_at"),
+        )
+    )
+    fields = [days.schema[entity], T.StructField(position, T.IntegerType())]
+    schema = T.StructType([*fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def shares(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first = batch.column(1).to_numpy(zero_copy_only=False)
+        at = batch.column(2)
+        one = np.zeros((batch.num_rows, size), dtype=np.int32)
+        owner = np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy(zero_copy_only=False))
+        one[owner, at.flatten().to_numpy(zero_copy_only=False)] = 1
+        row, place = np.nonzero(np.arange(size) >= first[:, None])
+        blocks = doubled(one, levels)
+        columns = []
+        for n in spans:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                share = (window_sums(blocks, n) / n)[row, place]
+            columns.append(pa.array(share, mask=~(n > 0)[place]))
+        return pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), *columns], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, ROWS_AT_ONCE // max(1, size))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                yield shares(batch.slice(start, step))
+
+    return packed.mapInArrow(run, schema)

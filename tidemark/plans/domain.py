@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.common import norm, table
 from tidemark.functions.identifiers import FACTOR_BASES, implied_factor, is_isin, snapped_ratio
-from tidemark.operators import adjustment, backtest, joins, universe
+from tidemark.operators import adjustment, backtest, factors, joins, universe
 from tidemark.operators.calendar import sessions_of
 from tidemark.plans import market as M
 
@@ -169,30 +169,83 @@ def implied_factors(spark, sf_dir):
 
 
 def _factors(daily: DataFrame) -> DataFrame:
-    """A factor on the first session of each quarter, from the quarter's number."""
+    """Factors on the first session of each quarter, from the quarter's number; a split each January."""
     first = daily.groupBy("symbol", F.trunc("session", "quarter").alias("q")).agg(F.min("session").alias("ex_date"))
-    return first.select("symbol", "ex_date", (F.lit(1.0) - (F.month("q") + F.year("q") % 7) / F.lit(200.0)).alias("factor"))
+    shares = F.when(F.month("q") == 1, 2.0).otherwise(1.0)
+    paid = F.lit(1.0) - (F.month("q") + F.year("q") % 7) / F.lit(200.0)
+    return first.select(
+        "symbol", "ex_date", paid.alias("factor"), (paid / shares).alias("f_total"), (1 / shares).alias("f_splits"), shares.alias("share_ratio")
+    )
 
 
-_LEDGER = f"""{M.BARS}, led AS (SELECT symbol, min(session) AS ex_date,
-    1.0::DOUBLE - (month(date_trunc('quarter', session)) + year(session) % 7) / 200.0::DOUBLE AS factor
-  FROM bars GROUP BY symbol, date_trunc('quarter', session), year(session))"""
+_LEDGER = f"""{M.BARS}, led AS (SELECT *, factor / share_ratio AS f_total, 1 / share_ratio AS f_splits FROM (
+    SELECT symbol, min(session) AS ex_date, 1.0::DOUBLE - (month(date_trunc('quarter', session)) + year(session) % 7) / 200.0::DOUBLE AS factor,
+      CASE WHEN month(date_trunc('quarter', session)) = 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS share_ratio
+    FROM bars GROUP BY symbol, date_trunc('quarter', session), year(session)))"""
 
 
-def _adjusted(name: str, anchor: str | None) -> None:
+def _adjusted(name: str, mode: str, anchor: str | None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        daily = M.bars(spark, sf_dir).select("symbol", "session", "close")
-        rows = adjustment.adjusted(daily, _factors(daily), anchor=anchor)
-        return rows.select("symbol", "session", F.round(F.col("close") * F.col("adjustment"), 8).alias("close"))
+        daily = M.bars(spark, sf_dir).select("symbol", "session", "open", "close", "volume")
+        rows = adjustment.adjust(daily, _factors(daily), anchor, mode)
+        return rows.select("symbol", "session", F.round("open", 8).alias("open"), F.round("close", 8).alias("close"), F.round("volume", 4).alias("volume"))
 
     limit = f"AND l.ex_date <= DATE '{anchor}'" if anchor else ""
+    price = "f_total" if mode == "total_return" else "f_splits"
     QUERIES[name] = run
-    SQL[name] = f"""WITH {_LEDGER} SELECT b.symbol, b.session, round(any_value(b.close) * coalesce(product(l.factor), 1), 8) AS close
+    SQL[name] = f"""WITH {_LEDGER} SELECT b.symbol, b.session, round(any_value(b.open) * coalesce(product(l.{price}), 1), 8) AS open,
+  round(any_value(b.close) * coalesce(product(l.{price}), 1), 8) AS close, round(any_value(b.volume) * coalesce(product(l.share_ratio), 1), 4) AS volume
 FROM bars b LEFT JOIN led l ON l.symbol = b.symbol AND b.session < l.ex_date {limit} GROUP BY b.symbol, b.session"""
 
 
-_adjusted("adjust_all", None)
-_adjusted("adjust_anchored", "1996-06-28")
+_adjusted("adjust_all", "total_return", None)
+_adjusted("adjust_anchored", "total_return", "1996-06-28")
+_adjusted("adjust_splits", "splits", "1998-03-31")
+
+
+#: What an event of each type does to a holding.
+_KINDS = {
+    "CASH_DIVIDEND": factors.CASH,
+    "INTEREST_ON_CAPITAL": factors.CASH,
+    "INCOME": factors.CASH,
+    "RETURN_OF_CAPITAL": factors.CASH,
+    "SPLIT": factors.SHARES,
+    "REVERSE_SPLIT": factors.SHARES,
+    "STOCK_BONUS": factors.SHARES,
+    "SUBSCRIPTION": factors.RIGHTS,
+}
+
+
+def _of_kind(kind: str) -> str:
+    return "(" + ", ".join(f"'{t}'" for t, k in _KINDS.items() if k == kind) + ")"
+
+
+@_query(
+    "event_factors",
+    f"""WITH ev AS (SELECT DISTINCT event_id, upper(trim(security_id)) AS security_id, upper(trim(isin)) AS isin, ex_session, event_type,
+    CASE WHEN isfinite(cash_amount) THEN cash_amount END AS cash, CASE WHEN isfinite(share_ratio) AND share_ratio > 0 THEN share_ratio END AS ratio,
+    CASE WHEN isfinite(subscription_price) THEN subscription_price END AS price
+  FROM corporate_actions WHERE upper(trim(status)) IN ('CONFIRMED', 'INFERRED') AND ex_session IS NOT NULL AND security_id IS NOT NULL),
+pc AS (SELECT upper(trim(isin)) AS isin, session_date, max(previous_close) FILTER (isfinite(previous_close)) AS p FROM ex_sessions GROUP BY 1, 2),
+w AS (SELECT ev.*, pc.p, CASE WHEN event_type IN {_of_kind(factors.CASH)} THEN cash
+    WHEN event_type IN {_of_kind(factors.RIGHTS)} THEN ratio * greatest(p - price, 0) / (1 + ratio) END AS worth,
+    CASE WHEN event_type IN {_of_kind(factors.SHARES)} THEN coalesce(ratio, 1) ELSE 1 END AS shares
+  FROM ev LEFT JOIN pc ON pc.isin = ev.isin AND pc.session_date = ev.ex_session),
+g AS (SELECT security_id, ex_session AS ex_date, min(isin) AS isin, max(p) AS p, coalesce(sum(worth), 0) AS v, product(shares) AS ratio,
+    string_agg(event_id, ',' ORDER BY event_id) AS event_ids FROM w GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN p IS NULL THEN 'no_previous_close' WHEN v >= p THEN 'value_exceeds_price' END AS reason FROM g)
+SELECT security_id, isin, ex_date, round(p, 8) AS previous_close, round(v, 8) AS cash_value, round(ratio, 8) AS share_ratio,
+  round(CASE WHEN reason IS NULL THEN (1 - v / p) / ratio END, 8) AS f_total, round(CASE WHEN reason IS NULL THEN 1 / ratio END, 8) AS f_splits,
+  event_ids, reason FROM r""",
+)
+def event_factors(spark, sf_dir):
+    """The factor of each ex-session of the ledger, or why it has none."""
+    events = table(spark, sf_dir, "corporate_actions").where(norm("status").isin("CONFIRMED", "INFERRED"))
+    named = {c: norm(c) for c in ("security_id", "isin", "target_isin")}
+    events = events.withColumns(named).withColumn("target_security", F.lit(None).cast("string"))
+    before = table(spark, sf_dir, "ex_sessions").select(norm("isin").alias("isin"), F.col("session_date").alias("session"), F.col("previous_close").alias("close"))
+    found = factors.event_factors(events, before, _KINDS)
+    return found.select(*(F.round(c, 8).alias(c) if t == "double" else c for c, t in found.dtypes))
 
 
 @_query(

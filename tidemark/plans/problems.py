@@ -48,6 +48,17 @@ def _calendar(spark: SparkSession, sf_dir: str) -> tuple[list, DataFrame]:
     return sessions, spark.createDataFrame(list(enumerate(sessions)), "pos int, session_date date")
 
 
+def _named(calendar: DataFrame) -> DataFrame:
+    """The positions with their dates as text, so that no row writes its own."""
+    return calendar.select("pos", iso("session_date").alias("session_date"))
+
+
+def _to_places(c: Column | str, places: int) -> Column:
+    """Rounded in binary arithmetic, for numbers that lie far from a tie."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.rint(c * F.lit(10.0**places)) / F.lit(10.0**places)
+
+
 def _settings(spark: SparkSession, sf_dir: str, sessions: list) -> list[dict]:
     """The (few, fixed) settings with their windows as calendar positions."""
     rows = (
@@ -116,9 +127,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_compact(F.array(*thin)) if thin else F.array().cast("array<struct<pos:int,measure:string>>"),
     )
     found = dense.select("security_id", F.inline(cases))
-    return found.join(F.broadcast(calendar), "pos").select(
-        "security_id", iso("session_date").alias("session_date"), "measure"
-    )
+    return found.join(F.broadcast(_named(calendar)), "pos").select("security_id", "session_date", "measure")
 
 
 def p2_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,11 +138,11 @@ def p2_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions, calendar = _calendar(spark, sf_dir)
     days = _traded_days(spark, sf_dir, calendar)
     totals = trailing(days, "security_id", "pos", "traded_value", (7, 30), last=len(sessions) - 1)
-    return totals.join(F.broadcast(calendar), "pos").select(
+    return totals.join(F.broadcast(_named(calendar)), "pos").select(
         "security_id",
-        iso("session_date").alias("session_date"),
-        *(F.round(c, 2).alias(c) for c in ("traded_value", "sum_7", "sum_30")),
-        *(F.round(F.round(f"sum_{w}", 2) / F.lit(float(w)), 6).alias(f"mean_{w}") for w in (7, 30)),
+        "session_date",
+        *(_to_places(c, 2).alias(c) for c in ("traded_value", "sum_7", "sum_30")),
+        *(_to_places(_to_places(f"sum_{w}", 2) / F.lit(float(w)), 6).alias(f"mean_{w}") for w in (7, 30)),
     )
 
 
@@ -149,20 +158,9 @@ def p2_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
         for m in months:
             lengths[m].append(r["pos"] - (bisect_right(sessions, r[f"m{m}"]) - 1))
     days = _traded_days(spark, sf_dir, calendar)
-    dense = dense_series(days, "security_id", "pos", "traded_value", last=len(sessions) - 1)
-    dense = dense.withColumn("_one", F.transform("series", lambda x: F.when(x > 0, 1.0).otherwise(0.0)))
-    levels = max(1, max((max(x, default=1) for x in lengths.values()), default=1)).bit_length() - 1
-    dense = with_doubling(dense, "_one", levels, "_p")
-    dense = dense.withColumns({f"presence_{m}m": presence(dense, "series", lengths[m]) for m in months})
-    rows = dense.select(
-        "security_id",
-        "first_pos",
-        F.posexplode(F.arrays_zip(*(f"presence_{m}m" for m in months))).alias("_i", "_z"),
-    ).withColumn("pos", F.col("first_pos") + F.col("_i"))
-    return rows.join(F.broadcast(calendar), "pos").select(
-        "security_id",
-        iso("session_date").alias("session_date"),
-        *(F.round(F.col(f"_z.presence_{m}m"), 8).alias(f"presence_{m}m") for m in months),
+    rows = presence(days, "security_id", "pos", "traded_value", {f"presence_{m}m": lengths[m] for m in months})
+    return rows.join(F.broadcast(_named(calendar)), "pos").select(
+        "security_id", "session_date", *(f"presence_{m}m" for m in months)
     )
 
 
@@ -334,7 +332,7 @@ hits AS (SELECT g.security_id, g.session_date, {", ".join(f"count(*) FILTER (d.s
 spans AS (SELECT a.session_date, {", ".join(f"count(*) FILTER (b.session_date > a.session_date - INTERVAL {m} MONTH) AS n{m}" for m in (1, 2, 3, 4, 6, 12))}
   FROM cal a JOIN cal b ON b.session_date <= a.session_date AND b.session_date > a.session_date - INTERVAL 12 MONTH GROUP BY ALL)
 SELECT g.security_id, strftime(g.session_date, '%Y-%m-%d') AS session_date,
-  {", ".join(f"round(coalesce(k{m}, 0) / n{m}, 8) AS presence_{m}m" for m in (1, 2, 3, 4, 6, 12))}
+  {", ".join(f"coalesce(k{m}, 0) / n{m} AS presence_{m}m" for m in (1, 2, 3, 4, 6, 12))}
 FROM grid g JOIN spans USING (session_date) LEFT JOIN hits h ON h.security_id = g.security_id AND h.session_date = g.session_date""",
     "p2_found": f"""
 WITH {_DAYS},

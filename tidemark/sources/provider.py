@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.adjustment import adjusted
+from tidemark.operators.adjustment import adjust
 from tidemark.operators.identity import one_row_per_label
 from tidemark.sources.store import Store
 
@@ -19,8 +19,12 @@ class BarsProvider(ABC):
     """Long bars ``session, symbol`` and fields, one row per key."""
 
     @abstractmethod
-    def bars(self, symbols: Sequence[str], start: str, end: str, fields: Sequence[str] = FIELDS, *, anchor: str | None = None, adjust: bool = True) -> DataFrame:
-        """The bars of ``symbols`` from ``start`` to ``end``, both included."""
+    def bars(self, symbols: Sequence[str], start: str, end: str, fields: Sequence[str] = FIELDS, *, anchor: str | None = None, mode: str = "total_return") -> DataFrame:
+        """The bars of ``symbols`` from ``start`` to ``end``, both included.
+
+        Adjusted relative to ``anchor`` (the end, if none is given) in one of
+        the modes of :func:`tidemark.operators.adjustment.adjust`.
+        """
 
     def wide(self, symbols: Sequence[str], start: str, end: str, field: str = "close", **options: object) -> DataFrame:
         """One column per symbol."""
@@ -39,7 +43,7 @@ class StoreProvider(BarsProvider):
     def __init__(self, spark: SparkSession, store: Store) -> None:
         self.spark, self.store = spark, store
 
-    def bars(self, symbols, start, end, fields=FIELDS, *, anchor=None, adjust=True):
+    def bars(self, symbols, start, end, fields=FIELDS, *, anchor=None, mode="total_return"):
         if not symbols:
             raise ValueError("name at least one symbol")
         if start > end:
@@ -53,9 +57,7 @@ class StoreProvider(BarsProvider):
             & F.col("symbol").isin(list(symbols))
         ).select("session", "symbol", *dict.fromkeys([*fields, "volume"]))
         rows = one_row_per_label(rows, "symbol", "session", "volume", "session")
-        if adjust:
+        if mode != "raw":
             factors = self.store.read(self.spark, "derived", "factors").where(F.col("symbol").isin(list(symbols)))
-            rows = adjusted(rows, factors, anchor=anchor or end)
-            prices = [f for f in fields if f != "volume"]
-            rows = rows.withColumns({p: F.col(p) * F.col("adjustment") for p in prices}).drop("adjustment")
+            rows = adjust(rows, factors, anchor or end, mode)
         return rows.select("session", "symbol", *fields)
