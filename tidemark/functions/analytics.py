@@ -22,6 +22,7 @@ from tidemark.functions.contracts import (
     require_trades,
 )
 from tidemark.operators.joins import islands
+from tidemark.session import cut_lineage
 
 
 def _c(x: Column | str) -> Column:
@@ -340,16 +341,19 @@ def summary(
     ``benchmark_name``. With ``common_period`` all series are measured over
     the sessions they all have (none is an error). Growth a year of a series
     of less than a year is null. With ``check`` the returns are held to their
-    contract first (a pass over them, run at once).
+    contract first. The rows are kept in the checkpoint folder and checked
+    when this is called; the rest is lazy.
     """
     integer("periods", periods, 1), real("confidence", confidence, 0.0, 1.0)
+    keep = [risk_free] if isinstance(risk_free, str) else []
+    # Several passes follow; the rows are made once.
+    df = cut_lineage(df.select(by, at, r, *([benchmark] if benchmark else []), *keep))
     if check:
         require_returns(require_observations(df), r, by, at)
     if common_period:
         df = in_common(df, r, benchmark, by, at)
         if df.isEmpty():
             raise ValueError("the series have no session in common")
-    keep = [risk_free] if isinstance(risk_free, str) else []
     rows, sections = df.select(by, at, F.col(r).alias("r"), *keep), dict(SECTIONS)
     if benchmark is None:
         del sections["benchmark"]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import ship
+from tidemark.operators.joins import asof
+from tidemark.session import cut_lineage, ship
 
 
 def equal_weight(members: DataFrame) -> DataFrame:
@@ -70,6 +71,20 @@ def day_trades(bars: DataFrame, orders: DataFrame, sessions: DataFrame, cost_bps
     )
 
 
+def _asked_prices(asked: DataFrame, prices: DataFrame, execution: str) -> DataFrame:
+    """``asked`` (.., symbol, pos) with ``p``, the price a trade of that session has.
+
+    At the close: the last one up to the session. At the open: the session's
+    own, or else the last close before it.
+    """
+    closes = prices.select("symbol", F.col("pos").alias("_at"), F.col("close").alias("p"))
+    if execution == "close":
+        return asof(asked, closes, "symbol", ("pos", "_at"), ["p"], slice_width=None)
+    met = asof(asked.withColumn("_before", F.col("pos") - 1), closes, "symbol", ("_before", "_at"), ["p"], slice_width=None)
+    opens = prices.where("open IS NOT NULL").select("symbol", "pos", F.col("open").alias("_o"))
+    return met.join(opens, ["symbol", "pos"], "left").withColumn("p", F.coalesce("_o", "p")).drop("_o", "_before")
+
+
 def simulate_weights(bars: DataFrame, weights: DataFrame, sessions: DataFrame, by: str = "portfolio", cost_bps: float = 0.0, execution: str = "close") -> DataFrame:
     """``portfolio, session, equity, r, cost, gross, net``: target weights held with drift.
 
@@ -81,80 +96,140 @@ def simulate_weights(bars: DataFrame, weights: DataFrame, sessions: DataFrame, b
     paid out at its last close, free, and may not be a target again; a target
     before the first price is an error. Costs are ``cost_bps`` of the traded
     share of equity; ``gross`` and ``net`` are the exposures at the close.
+    There is a row for every session from a portfolio's first decision on.
 
-    Prices per (portfolio, symbol) are filled by a window in the JVM; only the
-    recursion over rebalances runs in Python, one portfolio at a time, on
-    arrays of its own sessions and symbols.
+    Only what follows from itself runs in order: from rebalance to rebalance a
+    portfolio's value gives its new positions, on the prices of those sessions
+    alone, in a stream of one portfolio's rebalances after the other. Between
+    them positions stand still, so the worth of all sessions is one join of
+    positions and filled prices by symbol and session, and one aggregation.
     """
     if execution not in ("close", "open"):
         raise ValueError(f"execution is at the close or the open, not {execution!r}")
-    ship(bars.sparkSession)
-    held = weights.select(by, "symbol").distinct()
-    start = sessions.select(F.col("session").alias("_from"), F.col("pos").alias("_fp"))
-    span = weights.groupBy(by).agg(F.min("decision").alias("_from")).join(start, "_from")
-    prices = bars.select("session", "symbol", "close", (F.col("open") if execution == "open" else F.lit(None).cast("double")).alias("open")).where("close IS NOT NULL").join(sessions, "session")
-    life = prices.groupBy("symbol").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    # What is before the first decision comes down to one mark on its day.
-    marks = (
-        held.join(prices, "symbol")
-        .join(span, by)
-        .groupBy(by, "symbol", F.greatest("pos", "_fp").cast("int").alias("pos"), F.greatest("session", "_from").alias("session"))
-        .agg(F.max_by("close", "pos").alias("close"), F.max_by("open", "pos").alias("open"))
-        .join(life, "symbol")
-        .select(
-            by, "symbol", "pos", "session", "close", "open", F.col("first").cast("int"), F.col("last").cast("int"),
-            F.lit(None).cast("double").alias("weight"),
-        )
+    spark = bars.sparkSession
+    ship(spark)
+    end = sessions.agg(F.max("pos")).first()[0]
+    opens = F.col("open").cast("double") if execution == "open" else F.lit(None).cast("double")
+    held = weights.select("symbol").distinct()
+    prices = (
+        bars.select("session", "symbol", "close", opens.alias("open"))
+        .where("close IS NOT NULL")
+        .join(held, "symbol", "left_semi")
+        .join(sessions, "session")
+        .select("symbol", "pos", "close", "open")
     )
     day = sessions.select(F.col("session").alias("decision"), (F.col("pos") + 1).alias("pos"))
-    targets = weights.join(day, "decision").join(sessions, "pos").join(life, "symbol").select(
-        by, "symbol", F.col("pos").cast("int").alias("pos"), "session", *(F.lit(None).cast("double").alias(c) for c in ("close", "open")), F.col("first").cast("int"), F.col("last").cast("int"), F.coalesce("weight", F.lit(0.0)).alias("weight")
+    plan = (
+        weights.join(day, "decision")
+        .where(F.col("pos") <= F.lit(end))
+        .groupBy(by, "pos", "symbol")
+        .agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"))
+    )
+    # What a rebalance needs: its targets, and what the one before it left.
+    turns = plan.select(by, "pos").distinct().withColumn("_next", F.lead("pos").over(Window.partitionBy(by).orderBy("pos")))
+    left = plan.join(turns, [by, "pos"]).where("_next IS NOT NULL").select(by, F.col("_next").alias("pos"), "symbol")
+    asked = plan.unionByName(left, allowMissingColumns=True).groupBy(by, "pos", "symbol").agg(F.coalesce(F.max("w"), F.lit(0.0)).alias("w"))
+    asked = _asked_prices(asked, prices, execution)
+    life = prices.groupBy("symbol").agg(F.max("pos").alias("last"))
+    asked = asked.join(life, "symbol", "left").select(
+        F.col(by).cast("string").alias("k"), F.col("pos").cast("int").alias("pos"), "symbol", F.col("w").cast("double").alias("w"), "p", (F.coalesce("last", F.lit(-1)) < F.col("pos")).alias("gone")
+    )
+    ordered = asked.repartition("k").sortWithinPartitions("k", "pos", "symbol")
+    taken = cut_lineage(ordered.mapInArrow(_rebalancer(cost_bps), "k string, pos int, symbol string, amount double, paid double"))
+
+    # A row without symbol is the cash; each row stands until the next rebalance.
+    ends = turns.select(F.col(by).cast("string").alias("k"), "pos", F.coalesce(F.col("_next") - 1, F.lit(end)).alias("_to"))
+    standing = taken.join(ends, ["k", "pos"]).select("k", "symbol", "amount", "paid", F.col("pos").alias("_turn"), F.explode(F.sequence("pos", "_to")).alias("pos"))
+    known = Window.partitionBy("symbol").orderBy("pos")
+    upto = F.greatest(F.coalesce(F.lead("pos").over(known) - 1, F.lit(end)), F.col("pos"))
+    filled = prices.withColumns({"_upto": upto, "last": F.max("pos").over(Window.partitionBy("symbol"))})
+    filled = filled.select("symbol", "close", "last", F.explode(F.sequence("pos", "_upto")).alias("pos"))
+    worth = standing.where("symbol IS NOT NULL").join(filled, ["symbol", "pos"]).select(
+        "k", "pos", (F.col("amount") * F.col("close")).alias("worth"), (F.col("pos") <= F.col("last")).alias("live"), F.lit(None).cast("double").alias("paid")
+    )
+    cash = standing.where("symbol IS NULL").select(
+        "k", "pos", F.col("amount").alias("worth"), F.lit(False).alias("live"), F.when(F.col("pos") == F.col("_turn"), F.col("paid")).alias("paid")
+    )
+    begin = weights.groupBy(F.col(by).cast("string").alias("k")).agg(F.min("decision").alias("session")).join(sessions, "session").select("k", F.col("pos").alias("_a"))
+    first = turns.groupBy(F.col(by).cast("string").alias("k")).agg(F.min("pos").alias("_b"))
+    waiting = begin.join(first, "k", "left").select("k", F.explode(F.sequence("_a", F.greatest(F.coalesce(F.col("_b") - 1, F.lit(end)), F.col("_a")))).alias("pos"))
+    waiting = waiting.withColumns({"worth": F.lit(1.0), "live": F.lit(False), "paid": F.lit(None).cast("double")})
+    live = F.when(F.col("live"), F.col("worth"))
+    daily = worth.unionByName(cash).unionByName(waiting).groupBy("k", "pos").agg(
+        F.sum("worth").alias("equity"), F.coalesce(F.sum("paid"), F.lit(0.0)).alias("paid"), F.coalesce(F.sum(F.abs(live)), F.lit(0.0)).alias("_gross"), F.coalesce(F.sum(live), F.lit(0.0)).alias("_net")
     )
+    before = F.coalesce(F.lag("equity").over(Window.partitionBy("k").orderBy("pos")), F.lit(1.0))
+    equity = F.col("equity")
+    return daily.withColumn("_before", before).join(sessions, "pos").select(
+        F.col("k").alias(by),
+        "session",
+        "equity",
+        (F.try_divide(equity, F.col("_before")) - 1).alias("r"),
+        F.try_divide(F.col("paid"), F.col("_before")).alias("cost"),
+        F.try_divide(F.col("_gross"), equity).alias("gross"),
+        F.try_divide(F.col("_net"), equity).alias("net"),
+    )
+
+
+class _Portfolio:
+    """Units and cash of one portfolio after each of its rebalances."""
+
+    def __init__(self, name: str, cost: float) -> None:
+        self.name, self.cost, self.cash = name, cost, 1.0
+        self.units: dict[str, float] = {}
+
+    def rebalance(self, pos: int, symbols: list[str], want: np.ndarray, price: np.ndarray, gone: np.ndarray) -> list[tuple]:
+        have = np.array([self.units.get(s, 0.0) for s in symbols])
+        priced = np.nan_to_num(price)
+        # What has left the market has been paid out at its last close.
+        self.cash += float((have * priced)[gone].sum())
+        have, want = np.where(gone, 0.0, have), np.where(gone, 0.0, want)
+        if (np.isnan(price) & (want != 0)).any():
+            raise ValueError(f"{self.name} has a target before a first price at position {pos}")
+        value = self.cash + float((have * priced).sum())
+        paid = self.cost * float(np.abs(want - have * priced / value).sum()) * value
+        units = np.divide(want * value, priced, out=np.zeros(len(want)), where=want != 0)
+        self.cash = value - float((units * priced).sum()) - paid
+        self.units = {s: u for s, u in zip(symbols, units, strict=True) if u}
+        return [(self.name, pos, None, self.cash, paid), *((self.name, pos, s, u, None) for s, u in self.units.items())]
+
+
+def _rebalancer(cost_bps: float):
+    """Follows portfolios through their rebalances, which come in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current: _Portfolio | None = None
+        key: tuple | None = None
+        open_: list[tuple] = []
+
+        def close() -> list[tuple]:
+            nonlocal current
+            if key is None:
+                return []
+            if current is None or current.name != key[0]:
+                current = _Portfolio(key[0], cost_bps / 10_000)
+            symbols, want, price, gone = zip(*open_, strict=True)
+            prices = np.array([np.nan if p is None else p for p in price], dtype=float)
+            return current.rebalance(key[1], list(symbols), np.array(want, dtype=float), prices, np.array(gone, dtype=bool))
+
+        for batch in batches:
+            out: list[tuple] = []
+            for k, pos, symbol, w, p, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, pos) != key:
+                    out += close()
+                    key, open_ = (k, pos), []
+                open_.append((symbol, w, p, gone))
+            if out:
+                yield _table(out)
+        if out := close():
+            yield _table(out)
+
+    return run
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _one_portfolio(rows, by, cost_bps)
-
-    schema = f"{by} string, session date, equity double, r double, cost double, gross double, net double"
-    return marks.unionByName(targets).groupBy(by).applyInPandas(run, schema)
-
-
-def _one_portfolio(rows: pd.DataFrame, by: str, cost_bps: float) -> pd.DataFrame:
-    name = rows[by].iloc[0]
-    targets = rows[rows.weight.notna()]
-    bars = rows[rows.weight.isna()]
-    grid = bars.pivot_table(index="pos", columns="symbol", values="close", aggfunc="last")
-    days = rows.drop_duplicates("pos").set_index("pos").session.sort_index()
-    mark = grid.reindex(days.index).ffill()
-    symbols = list(mark.columns)
-    last = rows.groupby("symbol")["last"].first().reindex(symbols).to_numpy()
-    close = mark.to_numpy(dtype=float)
-    # A trade is at the open if there is one, else at the last close before it.
-    opens = bars.dropna(subset=["open"])
-    if len(opens):
-        given = opens.pivot_table(index="pos", columns="symbol", values="open", aggfunc="last")
-        trade = given.reindex(index=days.index, columns=symbols).fillna(mark.shift(1)).to_numpy(dtype=float)
-    else:
-        trade = close
-    plan = {p: t.groupby("symbol").weight.sum().reindex(symbols).fillna(0.0).to_numpy() for p, t in targets.groupby("pos")}
-    units, cash, equity = np.zeros(len(symbols)), 1.0, 1.0
-    out = []
-    for i, pos in enumerate(days.index):
-        gone = last < pos
-        cash += float((units * np.nan_to_num(close[i]) * gone).sum())
-        units, cost = np.where(gone, 0.0, units), 0.0
-        if pos in plan:
-            p, want = np.nan_to_num(trade[i]), np.where(gone, 0.0, plan[pos])
-            if ((want != 0) & np.isnan(trade[i])).any():
-                raise ValueError(f"{name} has a target before a first price at {days.iloc[i]}")
-            value = cash + float((units * p).sum())
-            cost = cost_bps / 10_000 * float(np.abs(want - units * p / value).sum()) * value
-            units = np.divide(want * value, p, out=np.zeros(len(p)), where=want != 0)
-            cash = value - float((units * p).sum()) - cost
-        worth = units * np.nan_to_num(close[i])
-        value = cash + float(worth.sum())
-        out.append((name, days.iloc[i], value, value / equity - 1, cost / equity, float(np.abs(worth).sum()) / value, float(worth.sum()) / value))
-        equity = value
-    return pd.DataFrame(out, columns=[by, "session", "equity", "r", "cost", "gross", "net"])
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"k": pa.string(), "pos": pa.int32(), "symbol": pa.string(), "amount": pa.float64(), "paid": pa.float64()}
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
 def testable_span(sessions: DataFrame, train_months: int) -> tuple[str, str]:

@@ -39,13 +39,23 @@ def align(df: DataFrame, sessions: DataFrame, by: str = "symbol", at: str = "ses
     """Each symbol's rows on every session from its first to its last.
 
     Sessions without a row have nulls; rows off the calendar are dropped (see
-    :func:`off_calendar`). The grid is exploded from each symbol's bounds as
-    positions, so symbols are not joined to all sessions.
+    :func:`off_calendar`), and so are rows without symbol. Each row is
+    exploded to the sessions up to the symbol's next one, so the rows are gone
+    through once and joined to nothing but the calendar.
     """
-    on = df.join(sessions.withColumnRenamed("session", at), at)
-    bounds = on.groupBy(by).agg(F.min("pos").alias("_a"), F.max("pos").alias("_b"))
-    grid = bounds.select(by, F.explode(F.sequence("_a", "_b")).alias("pos"))
-    return grid.join(on.drop(at), [by, "pos"], "left").join(sessions.withColumnRenamed("session", at), "pos").drop("pos")
+    return _filled(df.join(sessions.withColumnRenamed("session", at), at).drop(at), sessions.withColumnRenamed("session", at), [by], df.columns, at)
+
+
+def _filled(on: DataFrame, calendar: DataFrame, keys: Sequence[str], columns: Sequence[str], at: str) -> DataFrame:
+    """Rows with ``pos`` on all positions of their keys; the calendar gives back ``at``."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    upto = F.greatest(F.coalesce(F.lead("pos").over(w) - 1, F.col("pos")), F.col("pos"))
+    rows = on.where(F.col(keys[0]).isNotNull()).withColumn("_p", upto)
+    rest = [c for c in columns if c not in (*keys, at)]
+    spread = rows.select(*keys, "pos", *rest, F.explode(F.sequence("pos", "_p")).alias("_q"))
+    own = F.col("pos") == F.col("_q")
+    spread = spread.select(*keys, F.col("_q").alias("pos"), *(F.when(own, F.col(c)).alias(c) for c in rest))
+    return spread.join(calendar, [*keys[1:], "pos"]).select(*columns)
 
 
 def off_calendar(df: DataFrame, sessions: DataFrame, at: str = "session") -> DataFrame:
@@ -107,8 +117,5 @@ def align_each(df: DataFrame, calendars: DataFrame, of: DataFrame, by: str = "sy
     """
     missing = F.raise_error(F.concat(F.lit("no calendar for "), F.col(by))).cast("string")
     named = df.join(of.select(by, "calendar"), by, "left").withColumn("calendar", F.coalesce("calendar", missing))
-    on = named.join(calendars.withColumnRenamed("session", at), ["calendar", at])
-    bounds = on.groupBy(by, "calendar").agg(F.min("pos").alias("_a"), F.max("pos").alias("_b"))
-    grid = bounds.select(by, "calendar", F.explode(F.sequence("_a", "_b")).alias("pos"))
-    filled = grid.join(on.drop(at, "calendar"), [by, "pos"], "left")
-    return filled.join(calendars.withColumnRenamed("session", at), ["calendar", "pos"]).drop("pos", "calendar")
+    days = calendars.withColumnRenamed("session", at)
+    return _filled(named.join(days, ["calendar", at]).drop(at), days, [by, "calendar"], [*df.columns, "calendar"], at).select(*df.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import analytics as A
 from tidemark.operators.calendar import sessions_of
 from tidemark.plans import market as M
+from tidemark.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -326,7 +327,7 @@ def _held(daily: DataFrame, sessions: DataFrame) -> DataFrame:
 )
 def trade_timing(spark, sf_dir):
     """Positions opened on every bar and held for up to three more sessions."""
-    daily = M.bars(spark, sf_dir)
+    daily = M.bars_once(spark, sf_dir, "symbol", "session")
     sessions = sessions_of(daily, "session")
     return _rounded(A.trade_timing(_held(daily, sessions), sessions))
 
@@ -343,6 +344,6 @@ long_ AS (SELECT series, metric, value FROM wide UNPIVOT INCLUDE NULLS (value FO
 SELECT series, section, metric, round(value, 6) AS value FROM long_ JOIN (VALUES {_TRADE_ROWS}) v(section, metric) USING (metric)""",
 )
 def trade_summary(spark, sf_dir):
-    daily = M.bars(spark, sf_dir, "p_type")
-    sessions = sessions_of(daily, "session")
+    daily = M.bars_once(spark, sf_dir, "symbol", "session", symbol="p_type")
+    sessions = cut_lineage(sessions_of(daily, "session"))
     return _rounded(A.trade_summary(M.trades(spark, sf_dir), _held(daily, sessions), sessions), 6)

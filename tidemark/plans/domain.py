@@ -12,6 +12,7 @@ from tidemark.functions.identifiers import FACTOR_BASES, implied_factor, is_isin
 from tidemark.operators import adjustment, backtest, factors, joins, universe
 from tidemark.operators.calendar import sessions_of
 from tidemark.plans import market as M
+from tidemark.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -186,7 +187,7 @@ _LEDGER = f"""{M.BARS}, led AS (SELECT *, factor / share_ratio AS f_total, 1 / s
 
 def _adjusted(name: str, mode: str, anchor: str | None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        daily = M.bars(spark, sf_dir).select("symbol", "session", "open", "close", "volume")
+        daily = M.bars_once(spark, sf_dir, "symbol", "session", "open", "close", "volume")
         rows = adjustment.adjust(daily, _factors(daily), anchor, mode)
         return rows.select("symbol", "session", F.round("open", 8).alias("open"), F.round("close", 8).alias("close"), F.round("volume", 4).alias("volume"))
 
@@ -263,8 +264,8 @@ def adjustment_intervals(spark, sf_dir):
 
 
 def _market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    daily = M.bars(spark, sf_dir).select("symbol", "session", "close", "traded_value")
-    sessions = sessions_of(daily, "session")
+    daily = M.bars_once(spark, sf_dir, "symbol", "session", "close", "traded_value")
+    sessions = cut_lineage(sessions_of(daily, "session"))
     return daily, sessions, universe.four_month_periods(sessions)
 
 
@@ -394,7 +395,7 @@ SELECT session, symbol, leg, size, round(entry, 8) AS entry, round(exit, 8) AS e
   round(gross - 0.001 * (1 + exit / entry), 8) AS net, round(size * (gross - 0.001 * (1 + exit / entry)), 6) AS pnl FROM t""",
 )
 def day_trades(spark, sf_dir):
-    daily = M.bars(spark, sf_dir)
+    daily = M.bars_once(spark, sf_dir, "symbol", "session", "open", "high", "low", "close")
     sessions = sessions_of(daily, "session")
     p = F.col("pos")
     orders = daily.join(sessions, "session").select(
@@ -414,12 +415,36 @@ def day_trades(spark, sf_dir):
     )
 
 
-@_query("simulate_weights")
+@_query(
+    "simulate_weights",
+    f"""WITH RECURSIVE {_PERIODS}, {_liquid_sql(10, 'sel')},
+tg AS (SELECT symbol, c.pos + 1 AS pos, 1.0 / count(*) OVER (PARTITION BY period) AS w
+  FROM sel JOIN per USING (period) JOIN cal c ON c.session = effective_from WHERE c.pos + 1 <= (SELECT max(pos) FROM cal)),
+held AS (SELECT b.symbol, min(c.pos) AS a, max(c.pos) AS z FROM bars b JOIN cal c USING (session) WHERE b.symbol IN (SELECT symbol FROM tg) GROUP BY b.symbol),
+fl AS (SELECT h.symbol, c.pos, h.z, last_value(b.close IGNORE NULLS) OVER (PARTITION BY h.symbol ORDER BY c.pos) AS p
+  FROM held h JOIN cal c ON c.pos >= h.a LEFT JOIN bars b ON b.symbol = h.symbol AND b.session = c.session),
+turn AS (SELECT pos, row_number() OVER (ORDER BY pos) AS j, lead(pos, 1, (SELECT max(pos) + 1 FROM cal)) OVER (ORDER BY pos) AS nxt FROM (SELECT DISTINCT pos FROM tg)),
+ask AS (SELECT t.j, t.pos, fl.symbol, fl.p, fl.z < t.pos AS gone, CASE WHEN fl.z < t.pos THEN 0 ELSE coalesce(tg.w, 0) END AS w
+  FROM turn t JOIN fl ON fl.pos = t.pos LEFT JOIN tg ON tg.pos = t.pos AND tg.symbol = fl.symbol),
+st AS (SELECT 0::BIGINT AS j, symbol, 0.0::DOUBLE AS u, 1.0::DOUBLE AS cash, 0.0::DOUBLE AS paid FROM held
+  UNION ALL
+  SELECT j, symbol, u2, v - sum(u2 * p) OVER () - paid, paid FROM (
+    SELECT *, 0.001 * sum(abs(w - u1 * p / v)) OVER () * v AS paid, w * v / p AS u2 FROM (
+      SELECT *, c1 + sum(u1 * p) OVER () AS v FROM (
+        SELECT st.j + 1 AS j, st.symbol, coalesce(ask.p, 1) AS p, coalesce(ask.w, 0) AS w, CASE WHEN ask.gone THEN 0 ELSE st.u END AS u1,
+          st.cash + coalesce(sum(CASE WHEN ask.gone THEN st.u * ask.p END) OVER (), 0) AS c1
+        FROM st LEFT JOIN ask ON ask.j = st.j + 1 AND ask.symbol = st.symbol WHERE st.j < (SELECT max(j) FROM turn)) q1) q2) q3),
+eq AS (SELECT fl.pos, any_value(st.cash) + sum(st.u * fl.p) AS equity, max(CASE WHEN fl.pos = t.pos THEN st.paid ELSE 0 END) AS paid
+  FROM st JOIN turn t ON t.j = st.j JOIN fl ON fl.symbol = st.symbol AND fl.pos >= t.pos AND fl.pos < t.nxt GROUP BY fl.pos
+  UNION ALL SELECT pos, 1.0, 0.0 FROM cal WHERE pos = (SELECT min(pos) - 1 FROM tg))
+SELECT 'liquid' AS portfolio, session, round(equity, 8) AS equity, round(equity / lag(equity, 1, 1.0) OVER (ORDER BY pos) - 1, 8) AS r,
+  round(paid / lag(equity, 1, 1.0) OVER (ORDER BY pos), 8) AS cost FROM eq JOIN cal USING (pos)""",
+)
 def simulate_weights(spark, sf_dir):
     """The liquid universe at equal weights, rebalanced when it changes."""
     daily, sessions, periods = _market(spark, sf_dir)
     chosen = _liquid(daily, sessions, periods, 10).join(periods.select("period", "effective_from"), "period")
     members = chosen.select(F.col("effective_from").alias("session"), "symbol")
     weights = backtest.equal_weight(members).select(F.lit("liquid").alias("portfolio"), F.col("session").alias("decision"), "symbol", "weight")
-    found = backtest.simulate_weights(daily, weights, sessions, cost_bps=10.0)
+    found = backtest.simulate_weights(daily, cut_lineage(weights), sessions, cost_bps=10.0)
     return found.select("portfolio", "session", *(F.round(c, 8).alias(c) for c in ("equity", "r", "cost")))

@@ -12,6 +12,7 @@ from tidemark.operators import calendar as C
 from tidemark.operators.panel import Panel
 from tidemark.operators.slices import in_slices
 from tidemark.plans import market as M
+from tidemark.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,7 +45,7 @@ def bars_ohlcv(spark, sf_dir):
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand bars on every session, with nulls in the gaps."""
-    daily = M.bars(spark, sf_dir)
+    daily = M.bars_once(spark, sf_dir)
     return C.align(daily, C.sessions_of(daily, "session"))
 
 
@@ -78,7 +79,7 @@ SELECT symbol, session, coalesce(high < low, false) AS critical_high_below_low,
 )
 def check_bars(spark, sf_dir):
     """The rules on bars of which some are bent on purpose."""
-    daily = M.bars(spark, sf_dir)
+    daily = M.bars_once(spark, sf_dir)
     sessions = C.sessions_of(daily, "session")
     bent = C.align(daily, sessions).join(sessions, "session").select(
         "symbol",
@@ -107,15 +108,10 @@ def interior_gaps(spark, sf_dir):
 FROM cal c JOIN cal d ON d.pos = greatest(c.pos - 5, 0)""",
 )
 def calendar_offset(spark, sf_dir):
-    sessions = C.sessions_of(M.bars(spark, sf_dir), "session")
+    sessions = cut_lineage(C.sessions_of(M.bars(spark, sf_dir), "session"))
     return C.offset_sessions(sessions.select("session"), sessions, "session", 5, "before").select("session", "before")
 
 
-@_query("panel_fingerprint_input", f"WITH {_ALIGNED} SELECT count(*) AS n, count(close) AS seen FROM aligned")
-def panel_fingerprint_input(spark, sf_dir):
-    return _aligned(spark, sf_dir).agg(F.count("*").alias("n"), F.count("close").alias("seen"))
-
-
 def panel_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of all aligned bars; sums of prices count to the cent, whatever their order."""
     rows = _aligned(spark, sf_dir)

@@ -11,6 +11,7 @@ from tidemark.common import norm, table
 from tidemark.operators import backtest, folds, identity, joins, matching
 from tidemark.operators.calendar import sessions_of
 from tidemark.plans import market as M
+from tidemark.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -217,8 +218,8 @@ SELECT f."window", life.symbol, CASE WHEN NOT f0 <= f.a THEN 'no history' WHEN N
 FROM f CROSS JOIN life LEFT JOIN p ON p."window" = f."window" AND p.symbol = life.symbol""",
 )
 def wf_folds(spark, sf_dir):
-    daily = M.bars(spark, sf_dir)
-    sessions = sessions_of(daily, "session")
+    daily = M.bars_once(spark, sf_dir, "symbol", "session", "close")
+    sessions = cut_lineage(sessions_of(daily, "session"))
     windows = backtest.walk_forward(sessions, *backtest.testable_span(sessions, 6), 6, 3)
     names = [r[0] for r in windows.select("window").orderBy("window").collect()]
     every = daily.select("symbol").distinct().withColumn("window", F.explode(F.array(*map(F.lit, names))))

@@ -7,11 +7,12 @@ the queries' SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.common import table
 from tidemark.functions.kernels import simple_returns
+from tidemark.session import cut_lineage
 
 
 def bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> DataFrame:
@@ -43,6 +44,15 @@ def bars(spark: SparkSession, sf_dir: str, symbol: str = "p_brand") -> DataFrame
     )
 
 
+def bars_once(spark: SparkSession, sf_dir: str, *columns: str, symbol: str = "p_brand") -> DataFrame:
+    """Bars that a query uses more than once, computed and kept when this is called.
+
+    The lines are read once; what is kept is a row for each symbol and session.
+    """
+    found = bars(spark, sf_dir, symbol)
+    return cut_lineage(found.select(*columns) if columns else found)
+
+
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``series, session, r``: simple returns of each part type's close."""
     closes = bars(spark, sf_dir, "p_type").select(F.col("symbol").alias("series"), "session", "close")
@@ -51,8 +61,7 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_benchmark(rows: DataFrame) -> DataFrame:
     """Adds ``b``, the mean return of all series of the session."""
-    mean = rows.groupBy("session").agg(F.avg("r").alias("b"))
-    return rows.join(mean, "session")
+    return rows.withColumn("b", F.avg("r").over(Window.partitionBy("session")))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
