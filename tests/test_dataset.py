@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +122,19 @@ def test_confirmations(spark):
     assert got == {"a": "1", "b": "2", "c": None, "d": "3", "e": None}
 
 
+def test_nearest_free_equals_a_loop():
+    rng = random.Random(2)
+    for _ in range(300):
+        free = sorted(rng.choice([1.0, 1.001, 1.002, 1.004, 2.0, -1.0, rng.uniform(0.9, 1.1)]) for _ in range(rng.randint(0, 9)))
+        asked = sorted(rng.choice([1.0, 1.002, 1.003, 2.0, -1.0, 0.0, rng.uniform(0.9, 1.1)]) for _ in range(rng.randint(0, 9)))
+        left, want = set(range(len(free))), []
+        for x in asked:
+            fit = [(abs(free[i] - x), i) for i in left if abs(free[i] - x) <= 0.005 * abs(x)]
+            want.append(min(fit)[1] if fit else None)
+            left.discard(want[-1])
+        assert matching.nearest_free(free, asked, 0.005) == want, (free, asked)
+
+
 def test_links(spark):
     s = "from_ string, to_ string, gap_sessions int"
     rows = [("a", "b", 1), ("a", "c", 2), ("d", "e", 2), ("f", "e", 2), ("g", "h", 3)]

@@ -240,7 +240,7 @@ def test_nearest_events(spark):
     left = spark.createDataFrame([("a", day(10)), ("a", day(50)), ("b", day(1)), ("a", day(100))], "symbol string, last_session date")
     events = spark.createDataFrame([("a", day(8), "x"), ("a", day(12), "y"), ("a", day(40), "z"), ("a", day(40), "w")], "symbol string, day date, event string")
     got = {(r.symbol, r.last_session): r.event for r in universe.with_nearest_event(left, events).collect()}
-    assert got == {("a", day(10)): "y", ("a", day(50)): "w", ("b", day(1)): None, ("a", day(100)): None}
+    assert got == {("a", day(10)): "x", ("a", day(50)): "w", ("b", day(1)): None, ("a", day(100)): None}
 
 
 def test_walk_forward_errors(sessions):

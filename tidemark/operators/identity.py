@@ -43,12 +43,14 @@ def successor_candidates(life: DataFrame, sessions: DataFrame, entity: str, kind
     return met.where("from_ <> to_").select("from_", "to_", "gap_sessions")
 
 
-def chosen_links(candidates: DataFrame) -> DataFrame:
-    """One-to-one links, the smallest gaps first: ``from_, to_, gap_sessions``.
+def judged_links(candidates: DataFrame) -> DataFrame:
+    """``from_, to_, gap_sessions, linked`` of pairs judged one to one, the smallest gaps first.
 
     Gap by gap a pair is linked if both are still free and neither has
-    another free partner at that gap; crowded ones are left, but stay free
-    for larger gaps. Repeated pairs count once, pairs with a null are left out.
+    another free partner at that gap; crowded ones are not, but stay free for
+    larger gaps. A pair one of whose ends is linked at a smaller gap is not
+    judged and has no row. Repeated pairs count once, pairs with a null are
+    left out.
 
     Not all gaps need rounds of their own: a pair may be judged as soon as
     both ends, and all their partners at this gap, have nothing open at a
@@ -59,8 +61,8 @@ def chosen_links(candidates: DataFrame) -> DataFrame:
     """
     pair = ["from_", "to_", "gap_sessions"]
     open_ = cut_lineage(candidates.select(*pair).where("from_ IS NOT NULL AND to_ IS NOT NULL AND gap_sessions IS NOT NULL").distinct())
-    links = None
-    while links is None or not open_.isEmpty():
+    every = None
+    while every is None or not open_.isEmpty():
         lows = open_
         for end in ("from_", "to_"):
             lows = lows.join(open_.groupBy(end).agg(F.min("gap_sessions").alias(f"_{end}")), end)
@@ -71,15 +73,20 @@ def chosen_links(candidates: DataFrame) -> DataFrame:
             level = told.groupBy(end, "gap_sessions").agg(F.count("*").alias(f"_n{end}"), F.bool_and("_ready").alias(f"_all{end}"))
             judged = judged.join(level, [end, "gap_sessions"])
         judged = cut_lineage(
-            judged.where("_allfrom_ AND _allto_").select(*pair, ((F.col("_nfrom_") == 1) & (F.col("_nto_") == 1)).alias("_sole"))
+            judged.where("_allfrom_ AND _allto_").select(*pair, ((F.col("_nfrom_") == 1) & (F.col("_nto_") == 1)).alias("linked"))
         )
-        taken = judged.where("_sole").select(*pair)
-        links = taken if links is None else links.unionByName(taken)
+        every = judged if every is None else every.unionByName(judged)
+        taken = judged.where("linked")
         rest = open_.join(judged.select(*pair), pair, "left_anti")
         for end in ("from_", "to_"):
             rest = rest.join(taken.select(end), end, "left_anti")
         open_ = cut_lineage(rest)
-    return links
+    return every
+
+
+def chosen_links(candidates: DataFrame) -> DataFrame:
+    """The pairs of :func:`judged_links` that are linked: ``from_, to_, gap_sessions``."""
+    return judged_links(candidates).where("linked").drop("linked")
 
 
 def label_at(spanned: DataFrame, asked: DataFrame, entity: str, label: str, at: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import ship
 
@@ -62,29 +64,101 @@ def confirmations(best: DataFrame, other: DataFrame, by: Sequence[str], record:
 
     Within a group each record of ``other``, in order of its value and id,
     takes the nearest free record of ``best`` within the relative
-    ``tolerance``; a missing value fits a missing one. ``other_id`` has no
-    ``best_id`` where it conflicts. Greedy matching depends on its own past,
-    so each (small) group is one call.
+    ``tolerance`` (less than one; of equally near ones the smaller); a missing
+    value fits a missing one. ``other_id`` has no ``best_id`` where it
+    conflicts. A row with a null in ``by`` belongs to no group and is left
+    out; ids come out as strings.
+
+    Greedy matching depends on its own past, but only among values that reach
+    each other: a group's values fall into clusters wherever two neighbours
+    are further apart than the tolerance, so the clusters, not the groups, are
+    what is matched in one piece. They stream through a task in order, one
+    held at a time, each record finding its partner by bisection. Missing
+    values are paired by their numbers, without Python.
     """
     ship(best.sparkSession)
     names = list(by)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in best.select(*names).schema) + ", best_id string, other_id string"
-
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free = a.sort_values([value, record], na_position="last")[[record, value]].values.tolist()
-        rows = []
-        for other_id, x in b.sort_values([value, record], na_position="last")[[record, value]].values.tolist():
-            missing = x is None or x != x
-            fit = [
-                (0.0 if missing else abs(y - x), i)
-                for i, (_, y) in enumerate(free)
-                if ((y is None or y != y) if missing else (y == y and y is not None and abs(y - x) <= tolerance * abs(x)))
-            ]
-            taken = free.pop(min(fit)[1])[0] if fit else None
-            rows.append((*key, taken, other_id))
-        return pd.DataFrame(rows, columns=[*names, "best_id", "other_id"])
-
-    return best.groupBy(*names).cogroup(other.groupBy(*names)).applyInPandas(run, schema)
+    known = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    sides = [df.select(*names, F.col(record).cast("string").alias("_id"), known.alias("_v"), F.lit(i).alias("_side")) for i, df in enumerate((best, other))]
+    rows = sides[0].unionByName(sides[1]).na.drop(subset=names)
+    numbered = rows.where("_v IS NULL").withColumn("_n", F.row_number().over(Window.partitionBy(*names, "_side").orderBy("_id")))
+    lone = numbered.where("_side = 1").select(*names, "_n", F.col("_id").alias("other_id"))
+    missing = lone.join(numbered.where("_side = 0").select(*names, "_n", F.col("_id").alias("best_id")), [*names, "_n"], "left").select(*names, "best_id", "other_id")
+
+    order = Window.partitionBy(*names).orderBy("_v")
+    before = F.lag("_v").over(order)
+    apart = before.isNotNull() & (F.col("_v") - before > F.lit(tolerance) * F.greatest(F.abs("_v"), F.abs(before)))
+    clustered = rows.where("_v IS NOT NULL").withColumn("_new", F.when(apart, 1).otherwise(0))
+    clustered = clustered.withColumn("_c", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    laid_out = clustered.select(*names, "_c", "_side", "_v", "_id").repartition(*names, "_c").sortWithinPartitions(*names, "_c", "_side", "_v", "_id")
+    schema = T.StructType([*(laid_out.schema[n] for n in names), T.StructField("best_id", T.StringType()), T.StructField("other_id", T.StringType())])
+    met = laid_out.mapInArrow(_pairer(len(names), tolerance, schema.names), schema)
+    return met.unionByName(missing)
+
+
+def nearest_free(free: Sequence[float], asked: Sequence[float], tolerance: float) -> list[int | None]:
+    """For each value asked, in order, the place of the nearest value still free within the tolerance.
+
+    ``free`` is sorted. The nearest free ones on either side are found by
+    bisection and by ways that skip what is taken, so nothing is gone through
+    again; of equal values the first free one is taken.
+    """
+    n = len(free)
+    # The next free place at or after i (n is none), and the last one before i,
+    # counted from 1 (0 is none).
+    up, down = list(range(n + 1)), list(range(n + 1))
+
+    def root(way: list[int], at: int) -> int:
+        while way[at] != at:
+            way[at] = way[way[at]]
+            at = way[at]
+        return at
+
+    out: list[int | None] = []
+    for x in asked:
+        after = root(up, bisect_left(free, x))
+        before = root(down, bisect_left(free, x)) - 1
+        if before >= 0:
+            # Of equal values below the first free one counts.
+            before = root(up, bisect_left(free, free[before]))
+        options = [(abs(free[i] - x), i) for i in (before, after) if 0 <= i < n and abs(free[i] - x) <= tolerance * abs(x)]
+        taken = min(options)[1] if options else None
+        if taken is not None:
+            up[taken], down[taken + 1] = taken + 1, taken
+        out.append(taken)
+    return out
+
+
+def _pairer(width: int, tolerance: float, names: Sequence[str]):
+    """Matches one cluster after the other; its free records come before those that ask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sides, kinds = None, ([], []), None
+
+        def close() -> list[tuple]:
+            best, other = sides
+            found = nearest_free([v for v, _ in best], [v for v, _ in other], tolerance)
+            return [(*key[:width], None if i is None else best[i][1], name) for i, (_, name) in zip(found, other, strict=True)]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*rows, strict=True)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], list(names))
+
+        for b in batches:
+            kinds = [*(b.schema.field(i).type for i in range(width)), pa.string(), pa.string()]
+            out: list[tuple] = []
+            for *group, side, v, name in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if tuple(group) != key:
+                    if key is not None:
+                        out += close()
+                    key, sides = tuple(group), ([], [])
+                sides[side].append((v, name))
+            if out:
+                yield batch(out)
+        if key is not None and (out := close()):
+            yield batch(out)
+
+    return run
 
 
 def with_stable_id(df: DataFrame, parts: Sequence[str], order: Sequence[str], name: str = "record_key") -> DataFrame:

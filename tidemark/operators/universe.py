@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidemark.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class Universe:
@@ -127,7 +129,7 @@ def fill_gaps(selected: DataFrame, ranked: DataFrame, periods: DataFrame) -> Dat
     """``period, symbol, filled``: compositions, and ranked names where there are none.
 
     A period without a composition takes as many of its best ranked names as
-    the nearest period with one has members (the later one on a tie).
+    the nearest period with one has members (the earlier one on a tie).
     """
     sizes = selected.groupBy("period").agg(F.count_distinct("symbol").alias("_size"))
     w = Window.partitionBy(F.lit(1)).orderBy("effective_from")
@@ -139,7 +141,7 @@ def fill_gaps(selected: DataFrame, ranked: DataFrame, periods: DataFrame) -> Dat
             for side, spec in (("_b", order.rowsBetween(Window.unboundedPreceding, 0)), ("_a", Window.partitionBy(F.lit(1)).orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0)))
         }
     )
-    closer = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.col("_a._i") - F.col("_i") <= F.col("_i") - F.col("_b._i")))
+    closer = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.col("_a._i") - F.col("_i") < F.col("_i") - F.col("_b._i")))
     need = near.where("_size IS NULL").select("period", F.when(closer, F.col("_a._size")).otherwise(F.col("_b._size")).alias("_need"))
     filled = ranked.join(need, "period").where("rank <= _need").select("period", "symbol", F.lit(True).alias("filled"))
     return selected.select("period", "symbol", F.lit(False).alias("filled")).distinct().unionByName(filled)
@@ -170,8 +172,8 @@ def with_nearest_event(left: DataFrame, events: DataFrame, at: str = "last_sessi
     """``left`` (symbol, day) with the event of its symbol nearest in time.
 
     The one before and the one after are two as-of matches; the nearer counts,
-    the later on a tie, if it is at most ``within`` days off. Of events of one
-    day the smallest counts.
+    the smaller on a tie, if it is at most ``within`` days off. Of events of
+    one day the smallest counts.
     """
     from tidemark.operators.joins import asof
 
@@ -180,5 +182,62 @@ def with_nearest_event(left: DataFrame, events: DataFrame, at: str = "last_sessi
     after = one.select("symbol", F.col(day).alias("_d1"), F.col(day).alias("_a"), F.col(event).alias("_ea"))
     met = asof(left, before, "symbol", (at, "_d0"), ["_b", "_eb"], within_days=within)
     met = asof(met, after, "symbol", (at, "_d1"), ["_a", "_ea"], direction="forward", within_days=within)
-    later = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.datediff("_a", at) <= F.datediff(at, "_b")))
+    ahead, behind = F.struct(F.datediff("_a", at).alias("d"), F.col("_ea").alias("e")), F.struct(F.datediff(at, "_b").alias("d"), F.col("_eb").alias("e"))
+    later = F.col("_a").isNotNull() & (F.col("_b").isNull() | (ahead < behind))
     return met.withColumn(event, F.when(later, F.col("_ea")).otherwise(F.col("_eb"))).drop("_a", "_b", "_ea", "_eb")
+
+
+def one_file_each(members: DataFrame, by: Sequence[str] = ("index", "period", "source"), file: str = "source_file", member: str = "ticker") -> DataFrame:
+    """Members of the first file of each (index, period, source).
+
+    Files of one kind must list the same members, else reading them is an
+    error: their member sets are compared by count and digest, not gathered.
+    """
+    keys = list(by)
+    told = members.select(*keys, file, member).distinct().groupBy(*keys, file).agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64(member)).alias("_g"))
+    per = told.groupBy(*keys).agg(F.min(file).alias("_file"), F.count_distinct("_n", "_g").alias("_kinds"))
+    alike = F.when(F.col("_kinds") > 1, F.raise_error(F.concat(F.lit("files list different members: "), F.concat_ws(", ", *keys))).cast("string")).otherwise(F.col("_file"))
+    return members.join(per.select(*keys, alike.alias(file)), [*keys, file], "left_semi")
+
+
+def build_universe(
+    members: DataFrame, periods: DataFrame, spans: DataFrame, ranked: DataFrame | None, bars: DataFrame, events: DataFrame | None, *, fill_index: str, rank: Column
+) -> dict[str, DataFrame]:
+    """The tables of a universe from the members that all sources list.
+
+    ``members``: ``index, period, source, source_file, ticker, base_session``;
+    ``rank`` tells which source is better. One file of each kind counts, the
+    best source of each composition, and each ticker becomes the one security
+    that carried it on the base session, or else when the period began.
+    Periods of ``fill_index`` without a composition are filled from
+    ``ranked`` (``period, symbol, rank``). Returns ``constituents`` (``index,
+    period, ticker, symbol, source``), ``periods`` and ``exits``; both are
+    computed and checkpointed when this is called.
+    """
+    from tidemark.operators.matching import best_source
+
+    chosen = best_source(one_file_each(members), ["index", "period"], rank)
+    held = chosen.join(periods.select("period", "effective_from"), "period")
+    first = resolved(held, spans, "ticker", "base_session", "symbol").withColumnRenamed("symbol", "_one")
+    both = resolved(first, spans, "ticker", "effective_from", "symbol")
+    found = both.select("index", "period", "ticker", F.coalesce("_one", "symbol").alias("symbol"), "source")
+    if ranked is not None:
+        own = found.where(F.col("index") == fill_index).select("period", F.coalesce("symbol", "ticker").alias("symbol"))
+        filled = fill_gaps(own, ranked, periods).where("filled").select(
+            F.lit(fill_index).alias("index"), "period", F.lit("").alias("ticker"), "symbol", F.lit("liquidity_rule").alias("source")
+        )
+        found = found.unionByName(filled)
+    found = cut_lineage(found)
+    gone = exits(found.where("symbol IS NOT NULL"), bars, periods).distinct()
+    gone = found.select("index", "period", "symbol", "ticker").join(gone, ["period", "symbol"])
+    if events is not None:
+        gone = with_nearest_event(gone, events)
+    gone = cut_lineage(gone)
+    return {"constituents": found, "periods": periods, "exits": gone}
+
+
+def absent_at_start(constituents: DataFrame, periods: DataFrame, bars: DataFrame, gone: DataFrame) -> DataFrame:
+    """``index, period, ticker`` of members without a bar when the period began that are no exits."""
+    held = constituents.where("symbol IS NOT NULL").join(periods.select("period", F.col("effective_from").alias("session")), "period")
+    traded = bars.select("symbol", "session").distinct()
+    return held.join(traded, ["symbol", "session"], "left_anti").join(gone.select("index", "period", "symbol"), ["index", "period", "symbol"], "left_anti").select("index", "period", "ticker")

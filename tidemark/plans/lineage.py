@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.common import norm, table
+from tidemark.common import missing_as_null, norm, table
 from tidemark.operators import backtest, folds, identity, joins, matching
 from tidemark.operators.calendar import sessions_of
 from tidemark.plans import market as M
@@ -98,14 +98,28 @@ def best_source(spark, sf_dir):
     return matching.best_source(rows, ["isin", "last_cum_date", "event_type"], _rank())
 
 
-@_query("source_confirmations")
+@_query(
+    "source_confirmations",
+    f"""WITH RECURSIVE {_E}, r AS (SELECT isin, strftime(last_cum_date, '%Y-%m') AS "month", event_type, event_no::VARCHAR AS id, source,
+    CASE WHEN isfinite(cash_amount) THEN cash_amount END AS v FROM e WHERE isin IS NOT NULL AND last_cum_date IS NOT NULL AND event_type IS NOT NULL),
+grp AS (SELECT isin, "month", event_type, coalesce(list({{'v': v, 'id': id}} ORDER BY v NULLS LAST, id) FILTER (source = 'b3_listed'), []) AS b,
+    list({{'v': v, 'id': id}} ORDER BY v NULLS LAST, id) FILTER (source = 'b3_credited') AS o FROM r GROUP BY ALL HAVING count(*) FILTER (source = 'b3_credited') > 0),
+st AS (SELECT isin, "month", event_type, b, o, 0 AS n, []::BIGINT[] AS used FROM grp
+  UNION ALL
+  SELECT isin, "month", event_type, b, o, n + 1, list_append(used, coalesce(list_sort(list_transform(list_filter(range(1, len(b) + 1),
+      lambda i: NOT list_contains(used, i) AND CASE WHEN o[n + 1].v IS NULL THEN b[i].v IS NULL ELSE coalesce(abs(b[i].v - o[n + 1].v) <= 0.005 * abs(o[n + 1].v), false) END),
+      lambda i: {{'d': coalesce(abs(b[i].v - o[n + 1].v), 0), 'i': i}}))[1].i, 0))
+  FROM st WHERE n < len(o)),
+done AS (SELECT isin, "month", event_type, b, unnest(o).id AS other_id, unnest(used) AS i FROM st WHERE n = len(o))
+SELECT isin, "month", event_type, CASE WHEN i > 0 THEN b[i].id END AS best_id, other_id FROM done""",
+)
 def source_confirmations(spark, sf_dir):
-    """Credited records paired one to one with listed ones of the same day."""
+    """Credited records paired one to one with listed ones of the same month."""
     rows = _events(spark, sf_dir).select(
-        "isin", F.date_format("last_cum_date", "yyyy-MM").alias("month"), "event_type", F.col("event_no").cast("string").alias("id"), "cash_amount", "source"
+        "isin", F.date_format("last_cum_date", "yyyy-MM").alias("month"), "event_type", "event_no", missing_as_null("cash_amount").alias("cash_amount"), "source"
     )
     listed, credited = (rows.where(F.col("source") == s) for s in ("b3_listed", "b3_credited"))
-    return matching.confirmations(listed, credited, ["isin", "month", "event_type"], "id", "cash_amount", 0.005)
+    return matching.confirmations(listed, credited, ["isin", "month", "event_type"], "event_no", "cash_amount", 0.005)
 
 
 @_query(
