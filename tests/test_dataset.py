@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,23 @@ def test_scan_is_pruned(spark, lake):
             provider.bars(**{"start": "2024-01-01", "end": "2024-01-05", **bad})
 
 
+def test_tickers_follow_renames(spark, tmp_path):
+    store = Store.initialize(str(tmp_path))
+    bars = spark.createDataFrame([(2024, day(10 + i), s, 1.0 + i, 1.0) for i in range(6) for s in "ab"], "year int, session date, symbol string, close double, volume double")
+    store.replace_partitions(bars, "year", "curated", "bars")
+    spans = [("a", "OLD", day(10), day(12)), ("a", "NEW", day(13), day(15)), ("b", "OLD", day(14), day(15)), ("b", "B", day(10), day(13))]
+    store.replace(spark.createDataFrame(spans, "symbol string, label string, first_session date, last_session date"), "curated", "spans")
+    provider = StoreProvider(spark, store)
+    rows = provider.by_label(["NEW"], str(day(10)), str(day(15)), ["close"], mode="raw").collect()
+    assert {r.symbol for r in rows} == {"NEW"} and len(rows) == 6
+    early = provider.by_label(["OLD", "B"], str(day(10)), str(day(12)), ["close"], mode="raw").collect()
+    assert sorted((r.symbol, r.session) for r in early) == sorted((s, day(i)) for s in ("OLD", "B") for i in (10, 11, 12))
+    with pytest.raises(ValueError, match="one security"):
+        provider.by_label(["OLD", "B"], str(day(10)), str(day(15)), ["close"], mode="raw")
+    with pytest.raises(ValueError, match="no security"):
+        provider.by_label(["NEW"], str(day(10)), str(day(11)), ["close"], mode="raw")
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.delenv("TIDEMARK_ROOT", raising=False)
     root = str(tmp_path / "lake")
@@ -80,6 +98,16 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["--root", root, "build"]) == 0
     spans = spark.read.parquet(f"{root}/curated/spans").collect()
     assert {(r.symbol, r.label, r.sessions) for r in spans} == {("BRPETRACNPR6", "PETR4", 1), ("BRPETRACNPR6", "NEWP4", 1)}
+    from tidemark.sources.annual import pick_source, raw_years, read_manifest
+
+    entry = read_manifest(Store.open(root))
+    assert list(entry) == [2024] and entry[2024]["rows_kept"] == 2 and entry[2024]["sessions"] == 2 and len(entry[2024]["sha256"]) == 64
+    shutil.copy(path, f"{root}/raw/")
+    assert raw_years(Store.open(root)) == [2024] and cli.main(["--root", root, "build", "bars", "--years", "2024"]) == 0
+    assert cli.main(["--root", root, "years"]) == 0 and "2 bars on 2 sessions" in capsys.readouterr().out
+    assert cli.main(["--root", root, "build", "bars", "--years", "1999"]) == 2
+    with pytest.raises(FormatError, match="several"):
+        pick_source(["x_A2024.ZIP", "x_a2024.zip"], 2024)
     assert cli.main(["--root", root, "show", "curated", "bars"]) == 0 and "PETR4" in capsys.readouterr().out
     assert cli.main(["--root", root, "ingest", path + ".none"]) == 2
     assert cli.main(["init"]) == 2

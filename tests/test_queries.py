@@ -2,9 +2,9 @@
 
 import pytest
 
-from tidemark.plans import analytics, domain, kernels, lineage, problems
+from tidemark.plans import analytics, domain, kernels, ledger, lineage, problems
 
-PAIRS = [(n, m.QUERIES[n], m.SQL[n]) for m in (problems, kernels, analytics, domain, lineage) for n in m.SQL]
+PAIRS = [(n, m.QUERIES[n], m.SQL[n]) for m in (problems, kernels, analytics, domain, ledger, lineage) for n in m.SQL]
 
 
 @pytest.mark.parametrize("name,query,sql", PAIRS, ids=[p[0] for p in PAIRS])
@@ -29,7 +29,7 @@ def test_rest_runs_without_llm(monkeypatch, lacking):
     for name in [n for n in sys.modules if n.startswith("tidemark.llm")]:
         monkeypatch.delitem(sys.modules, name)
     monkeypatch.setitem(sys.modules, lacking, None)
-    core = {n for m in (problems, kernels, analytics, domain, lineage) for n in m.QUERIES}
+    core = {n for m in (problems, kernels, analytics, domain, ledger, lineage) for n in m.QUERIES}
     assert set(entry.queries()) == core and set(entry.oracle_sql()) <= core
 
 

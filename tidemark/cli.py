@@ -18,7 +18,12 @@ def _parser() -> argparse.ArgumentParser:
     commands.add_parser("init", help="make the zones of a store")
     ingest = commands.add_parser("ingest", help="read annual archives into curated/bars")
     ingest.add_argument("files", nargs="+", help="paths or patterns of archives")
-    commands.add_parser("build", help="build curated/spans from curated/bars")
+    build = commands.add_parser("build", help="build a table of the store")
+    build.add_argument("what", nargs="?", choices=("spans", "bars"), default="spans", help="curated/spans from bars, or curated/bars from raw archives")
+    build.add_argument("--years", type=int, nargs="*", help="years of bars; all there are, if none is named")
+    commands.add_parser("years", help="what each year of curated/bars was built from")
+    review = commands.add_parser("review", help="print candidates that wait for a decision")
+    review.add_argument("--status", nargs="*", default=["conflict", "likely", "pending"])
     show = commands.add_parser("show", help="print rows of a table")
     show.add_argument("zone")
     show.add_argument("name")
@@ -41,27 +46,35 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 2
 
 
+def _print_years(entries: dict[int, dict]) -> None:
+    for year, entry in sorted(entries.items()):
+        print(f"{year}: {entry['file']}, {entry['records_read']} records, {entry['rows_kept']} bars on {entry['sessions']} sessions")
+
+
 def _with_spark(args: argparse.Namespace, store: Store) -> int:
     from pyspark.sql import functions as F
 
     from tidemark.operators.identity import spans
     from tidemark.session import get_session
+    from tidemark.sources.annual import build_years, ingest, read_manifest
     from tidemark.sources.files import files
-    from tidemark.sources.fixed_width import read_annual
 
     spark = get_session("tidemark", args.master)
     if args.command == "ingest":
         paths = sorted({p for pattern in args.files for p in files(spark).matching(pattern)})
         if not paths:
             raise FileNotFoundError(f"no file matches {' '.join(args.files)}")
-        rows = read_annual(spark, paths).select(
-            F.year("session_date").alias("year"), F.col("session_date").alias("session"), F.col("isin").alias("symbol"), F.col("ticker").alias("label"),
-            "market_type", "distribution_number", "open", "high", "low", "close", F.col("volume_shares").cast("double").alias("volume"), "traded_value",
-        )
-        print(store.replace_partitions(rows.where("market_type = 10"), "year", "curated", "bars"))
+        _print_years(ingest(spark, store, paths))
+    elif args.command == "build" and args.what == "bars":
+        _print_years(build_years(spark, store, args.years or None))
     elif args.command == "build":
         found = spans(store.read(spark, "curated", "bars"), ["symbol", "label"], "session")
         print(store.replace(found, "curated", "spans"))
+    elif args.command == "years":
+        _print_years(read_manifest(store))
+    elif args.command == "review":
+        rows = store.read(spark, "curated", "candidates").where(F.col("status").isin(args.status))
+        rows.orderBy("status", "from_", "to_").show(1000, truncate=False)
     else:
         store.read(spark, args.zone, args.name).show(args.rows, truncate=False)
     return 0

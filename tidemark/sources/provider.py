@@ -61,3 +61,24 @@ class StoreProvider(BarsProvider):
             factors = self.store.read(self.spark, "derived", "factors").where(F.col("symbol").isin(list(symbols)))
             rows = adjust(rows, factors, anchor or end, mode)
         return rows.select("session", "symbol", *fields)
+
+    def by_label(self, labels: Sequence[str], start: str, end: str, fields: Sequence[str] = FIELDS, **options: object) -> DataFrame:
+        """Bars by ticker, following renames: ``session, symbol`` (the ticker asked for) and fields.
+
+        Each ticker stands for the security that carried it last on or before
+        the end (``curated/spans``: ``symbol, label, first_session,
+        last_session``), whose whole history in the range comes under that
+        ticker. Unknown tickers, and two tickers of one security, are errors.
+        The tickers are few; what they stand for comes to the driver.
+        """
+        last = F.lit(end).cast("date")
+        spans = self.store.read(self.spark, "curated", "spans").where(F.col("label").isin(list(labels)) & (F.col("first_session") <= last))
+        carried = spans.groupBy("label").agg(F.max_by("symbol", F.struct(F.least("last_session", last), "first_session", "symbol")).alias("symbol"))
+        found = {r.label: r.symbol for r in carried.collect()}
+        if unknown := sorted(set(labels) - set(found)):
+            raise ValueError(f"no security carried {', '.join(unknown)} by {end}")
+        if len(set(found.values())) < len(found):
+            raise ValueError("two of the tickers are one security")
+        rows = self.bars(list(found.values()), start, end, fields, **options)
+        named = F.create_map(*(F.lit(x) for label, symbol in found.items() for x in (symbol, label)))
+        return rows.withColumn("symbol", named[F.col("symbol")])
