@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import asof
+
 
 def sessions_of(df: DataFrame, day: str) -> DataFrame:
     """``session, pos``: the distinct days of a table, numbered from 0.
@@ -63,6 +65,18 @@ def off_calendar(df: DataFrame, sessions: DataFrame, at: str = "session") -> Dat
     return df.join(sessions.select(F.col("session").alias(at)), at, "left_anti")
 
 
+def session_near(rows: DataFrame, sessions: DataFrame, day: str, direction: str, name: str) -> DataFrame:
+    """Adds ``name``, the last session up to (or first from) a day.
+
+    The calendar is one key; it is met by the distinct days, whose number is
+    that of the calendar, and the answer joins back.
+    """
+    days = rows.select(F.col(day).alias("_asked")).where("_asked IS NOT NULL").distinct().withColumn("_one", F.lit(1))
+    calendar = sessions.select(F.lit(1).alias("_one"), F.col("session").alias("_at"), F.col("session").alias(name))
+    found = asof(days, calendar, "_one", ("_asked", "_at"), [name], direction=direction).drop("_one")
+    return rows.join(F.broadcast(found), F.col(day) == F.col("_asked"), "left").drop("_asked")
+
+
 #: Rules on bars: name, columns, condition (fixed names).
 RULES: Sequence[tuple[str, tuple[str, ...], str]] = (
     ("critical_high_below_low", ("high", "low"), "high < low"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.calendar import session_near
 from tidemark.operators.joins import asof, islands
 from tidemark.operators.matching import best_source, confirmations, match_by_ratio
 
@@ -84,32 +85,20 @@ def placed(events: DataFrame, runs: DataFrame, sessions: DataFrame) -> DataFrame
     after = F.col("_last") > F.col("last_cum_date")
     outcome = F.when(there & after, NO_EX_SESSION).when(there & F.col("_ex").isNotNull(), MATCHED).otherwise(NOT_TRADED)
     met = met.withColumn("placement", outcome).withColumn("ex_session", F.when(F.col("placement") == MATCHED, F.col("_ex"))).drop("_last", "_ex")
-    met = _session_near(met.withColumn("_day", F.date_add("last_cum_date", 1)), sessions, "_day", "forward", "ex_date").drop("_day")
+    met = session_near(met.withColumn("_day", F.date_add("last_cum_date", 1)), sessions, "_day", "forward", "ex_date").drop("_day")
 
     numbered = events.where("last_cum_date IS NULL")
     # Of several runs of one number the last counts.
     by_number = runs.groupBy("isin", F.col("distribution_number").alias("_n")).agg(F.max_by("_next", "first_session").alias("_ex"), F.max("first_session").alias("_f"))
     found = asof(numbered, by_number, "isin", ("distribution_number", "_n"), ["_ex"], slice_width=None)
     found = found.withColumn("placement", F.when(F.col("_ex").isNotNull(), MATCHED).otherwise(NOT_TRADED)).withColumnRenamed("_ex", "ex_session")
-    found = _session_near(found.withColumn("_day", F.date_sub("ex_session", 1)), sessions, "_day", "backward", "_cum").drop("_day")
+    found = session_near(found.withColumn("_day", F.date_sub("ex_session", 1)), sessions, "_day", "backward", "_cum").drop("_day")
     found = found.withColumns({"ex_date": F.col("ex_session"), "last_cum_date": F.col("_cum")})
     columns = [*events.columns, "placement", "ex_session", "ex_date"]
     every = met.select(*columns).unionByName(found.select(*columns))
     return every.withColumn("anchor_date", F.coalesce("ex_session", "ex_date"))
 
 
-def _session_near(rows: DataFrame, sessions: DataFrame, day: str, direction: str, name: str) -> DataFrame:
-    """Adds ``name``, the last session up to (or first from) a day.
-
-    The calendar is one key; it is met by the distinct days, whose number is
-    that of the calendar, and the answer joins back.
-    """
-    days = rows.select(F.col(day).alias("_asked")).where("_asked IS NOT NULL").distinct().withColumn("_one", F.lit(1))
-    calendar = sessions.select(F.lit(1).alias("_one"), F.col("session").alias("_at"), F.col("session").alias(name))
-    found = asof(days, calendar, "_one", ("_asked", "_at"), [name], direction=direction).drop("_one")
-    return rows.join(F.broadcast(found), F.col(day) == F.col("_asked"), "left").drop("_asked")
-
-
 def placed_by_ratio(events: DataFrame, ex: DataFrame, sessions: DataFrame, *, days: int = 180, tolerance: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """Events known by an approval and a ratio, with the ex-session their ratio points to; and the rest.
 
@@ -118,7 +107,7 @@ def placed_by_ratio(events: DataFrame, ex: DataFrame, sessions: DataFrame, *, da
     """
     met = match_by_ratio(events, ex, by="isin", event="event_no", at="approved_on", ratio="share_ratio", session="session", open_ratio="open_ratio", days=days, tolerance=tolerance)
     both = events.join(met.withColumnRenamed("matched_session", "ex_session"), "event_no", "left")
-    found = _session_near(both.where("ex_session IS NOT NULL").withColumn("_day", F.date_sub("ex_session", 1)), sessions, "_day", "backward", "_cum")
+    found = session_near(both.where("ex_session IS NOT NULL").withColumn("_day", F.date_sub("ex_session", 1)), sessions, "_day", "backward", "_cum")
     kept = found.withColumn("last_cum_date", F.col("_cum")).drop("_cum", "_day")
     return kept, both.where("ex_session IS NULL").drop("ex_session")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tidemark.operators.calendar import session_near
 from tidemark.session import cut_lineage
 
 
@@ -80,33 +81,49 @@ def assign_periods(sessions: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def liquid(
-    daily: DataFrame, sessions: DataFrame, periods: DataFrame, *, lookback: int, min_presence: float, top: int
+    daily: DataFrame, sessions: DataFrame, periods: DataFrame, *, min_presence: float, top: int, lookback: int | None = None, months: int | None = None
 ) -> DataFrame:
     """``period, symbol, rank, median_value, presence`` of the most liquid.
 
-    For each period, over the ``lookback`` sessions up to its base: symbols
-    present on at least ``min_presence`` of them, by the median of their daily
-    values with absent sessions as zero, ties by symbol. ``daily`` has one
-    value per (session, symbol). The values of a symbol and window are an
-    array no longer than the window.
+    For each period, over the ``lookback`` sessions up to its base (or those
+    of the last ``months`` up to it): symbols present on at least
+    ``min_presence`` of them, by the median of their daily values with absent
+    sessions as zero, ties by symbol. ``daily`` has one value per (session,
+    symbol). Periods whose window begins before the calendar are left out. The
+    values of a symbol and window are an array no longer than the window.
     """
+    if (lookback is None) == (months is None):
+        raise ValueError("give the lookback in sessions or in months")
     days = daily.where("traded_value > 0").join(sessions, "session").select("symbol", "pos", "traded_value")
-    windows = periods.where(F.col("base_pos") >= lookback - 1).select(
-        "period", F.explode(F.sequence(F.col("base_pos") - lookback + 1, F.col("base_pos"))).alias("pos")
-    )
-    packed = days.join(windows, "pos").groupBy("period", "symbol").agg(F.sort_array(F.collect_list("traded_value")).alias("_v"))
-    padded = F.concat(F.array_repeat(F.lit(0.0), F.lit(lookback) - F.size("_v")), F.col("_v"))
-    low, high = (lookback - 1) // 2, lookback // 2
+    if lookback is not None:
+        bounds = periods.where(F.col("base_pos") >= lookback - 1).select("period", (F.col("base_pos") - lookback + 1).alias("_from"), "base_pos")
+    else:
+        bounds = _months_back(periods, sessions, months)
+    bounds = bounds.withColumn("_size", F.col("base_pos") - F.col("_from") + 1)
+    windows = bounds.select("period", "_size", F.explode(F.sequence("_from", "base_pos")).alias("pos"))
+    packed = days.join(windows, "pos").groupBy("period", "_size", "symbol").agg(F.sort_array(F.collect_list("traded_value")).alias("_v"))
+    padded = F.concat(F.array_repeat(F.lit(0.0), F.col("_size") - F.size("_v")), F.col("_v"))
+    low, high = ((F.col("_size") - 1) / 2).cast("int"), (F.col("_size") / 2).cast("int")
     scored = packed.select(
         "period",
         "symbol",
-        (F.size("_v") / F.lit(float(lookback))).alias("presence"),
-        ((F.get(padded, F.lit(low)) + F.get(padded, F.lit(high))) / F.lit(2.0)).alias("median_value"),
+        (F.size("_v") / F.col("_size").cast("double")).alias("presence"),
+        ((F.get(padded, low) + F.get(padded, high)) / F.lit(2.0)).alias("median_value"),
     ).where(F.col("presence") >= min_presence)
     order = Window.partitionBy("period").orderBy(F.col("median_value").desc(), "symbol")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def _months_back(periods: DataFrame, sessions: DataFrame, months: int) -> DataFrame:
+    """``period, _from, base_pos``: the sessions after the base's day so many months before."""
+    first = F.min("session").over(Window.partitionBy(F.lit(1)))
+    calendar = sessions.select(F.col("pos").alias("base_pos"), F.col("session").alias("_base"), first.alias("_first"))
+    since = F.add_months("_base", -months)
+    begun = periods.select("period", "base_pos").join(calendar, "base_pos").where(F.col("_first") <= since)
+    near = session_near(begun.withColumn("_day", F.date_add(since, 1)), sessions, "_day", "forward", "_start")
+    return near.join(sessions.select(F.col("session").alias("_start"), F.col("pos").alias("_from")), "_start").select("period", "_from", "base_pos")
+
+
 def members_of(selected: DataFrame, sessions: DataFrame, periods: DataFrame) -> Universe:
     """The members of the period in force at each session."""
     labelled = assign_periods(sessions, periods)

@@ -315,6 +315,25 @@ def universe_liquidity(spark, sf_dir):
     )
 
 
+@_query(
+    "universe_liquidity_months",
+    f"""WITH {_PERIODS}, bs AS (SELECT p.period, p.base_pos, c.session AS base FROM per p JOIN cal c ON c.pos = p.base_pos),
+win AS (SELECT period, count(*) AS n FROM bs JOIN cal ON cal.session > base - INTERVAL 4 MONTH AND cal.session <= base
+  WHERE base - INTERVAL 4 MONTH >= (SELECT min(session) FROM cal) GROUP BY period),
+v AS (SELECT period, n, symbol, list(traded_value) AS v FROM win JOIN bs USING (period) JOIN bars b ON b.session > base - INTERVAL 4 MONTH AND b.session <= base
+  WHERE traded_value > 0 GROUP BY ALL),
+m AS (SELECT period, symbol, len(v) / n AS presence, list_aggregate(list_concat(v, list_transform(range(n - len(v)), lambda i: 0.0::DOUBLE)), 'median') AS median_value FROM v)
+SELECT period, symbol, row_number() OVER (PARTITION BY period ORDER BY median_value DESC, symbol) AS rank, round(median_value, 6) AS median_value, round(presence, 8) AS presence
+FROM m WHERE presence >= 0.5 QUALIFY rank <= 12""",
+)
+def universe_liquidity_months(spark, sf_dir):
+    """Windows of four months up to the base, whose number of sessions differs."""
+    found = universe.liquid(*_market(spark, sf_dir), months=4, min_presence=0.5, top=12)
+    return found.select(
+        "period", "symbol", F.col("rank").cast("bigint").alias("rank"), F.round("median_value", 6).alias("median_value"), F.round("presence", 8).alias("presence")
+    )
+
+
 _NAMED = ("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22")
 _BOTH = f"""{_PERIODS}, {_liquid_sql(10, 'sel')},
 ua AS (SELECT session, symbol FROM cal JOIN per ON session BETWEEN effective_from AND effective_to JOIN sel USING (period)),
