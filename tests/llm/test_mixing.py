@@ -122,3 +122,11 @@ def test_nothing(spark):
     assert mixed == [] and report[0].used_tokens == 0 and report[0].actual_share is None
     with pytest.raises(ValueError):
         run(spark, [("a", "x")], [("a", 0.5, 1), ("a", 0.5, 1)])
+
+
+def test_more_tasks_give_the_same_mixture(spark, monkeypatch):
+    rows = [("a", f"row {i} " * (i % 9)) for i in range(60)] + [("b", f"small {i}") for i in range(9)]
+    targets = [("a", 0.7, 1), ("b", 0.3, 2)]
+    one = sorted((r.shard, r.slot, r.source, r.block, r.epoch) for r in run(spark, rows, targets)[0])
+    monkeypatch.setattr(M, "SLOTS_A_TASK", 5)
+    assert one == sorted((r.shard, r.slot, r.source, r.block, r.epoch) for r in run(spark, rows, targets)[0])

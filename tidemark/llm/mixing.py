@@ -26,6 +26,9 @@ BROADCAST_ROWS = 500_000
 #: numpy's exact sampler ends there, and the two differ by nothing that shows.
 LARGE = 10**9
 
+#: Slots that one task of the join hashes at most (about 10 MB).
+SLOTS_A_TASK = 100_000
+
 #: Slots that leave a task at a time.
 SLOTS_AT_ONCE = 1 << 17
 
@@ -420,9 +423,15 @@ def _placed(blocks: DataFrame, mixture: Mixture) -> DataFrame:
     """Slots and blocks joined by source and index.
 
     The slots of a task are a small part of its blocks' tokens, so they are
-    what is hashed, and the tokens are not sorted.
+    what is hashed, and the tokens are not sorted. There are as many tasks as
+    keep each at :data:`SLOTS_A_TASK` slots, or those of the session if more.
     """
-    slots = slots_of(blocks.sparkSession, mixture).hint("shuffle_hash")
+    spark = blocks.sparkSession
+    slots = slots_of(spark, mixture)
+    tasks = -(-mixture.slots // SLOTS_A_TASK)
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        blocks, slots = (df.repartition(tasks, "source", "block") for df in (blocks, slots))
+    slots = slots.hint("shuffle_hash")
     return blocks.join(slots, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "ids")
 
 
