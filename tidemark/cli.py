@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from collections.abc import Sequence
 
+from tidemark.operators.master import MasterError
 from tidemark.sources.archives import FormatError
 from tidemark.sources.store import Store, StoreError, resolve_root
 
@@ -19,7 +21,8 @@ def _parser() -> argparse.ArgumentParser:
     ingest = commands.add_parser("ingest", help="read annual archives into curated/bars")
     ingest.add_argument("files", nargs="+", help="paths or patterns of archives")
     build = commands.add_parser("build", help="build a table of the store")
-    build.add_argument("what", nargs="?", choices=("spans", "bars"), default="spans", help="curated/spans from bars, or curated/bars from raw archives")
+    build.add_argument("what", nargs="?", choices=("spans", "bars", "master"), default="spans", help="curated/spans or curated/master from bars, or curated/bars from raw archives")
+    build.add_argument("--overrides", help="a YAML file of links made by hand, for the master")
     build.add_argument("--years", type=int, nargs="*", help="years of bars; all there are, if none is named")
     commands.add_parser("years", help="what each year of curated/bars was built from")
     review = commands.add_parser("review", help="print candidates that wait for a decision")
@@ -41,7 +44,7 @@ def main(argv: Sequence[str] | None = None) -> int:
             return 0
         store = Store.open(root)
         return _with_spark(args, store)
-    except (StoreError, FormatError, FileNotFoundError) as error:
+    except (StoreError, FormatError, MasterError, FileNotFoundError) as error:
         print(f"tidemark: {error}", file=sys.stderr)
         return 2
 
@@ -54,6 +57,7 @@ def _print_years(entries: dict[int, dict]) -> None:
 def _with_spark(args: argparse.Namespace, store: Store) -> int:
     from pyspark.sql import functions as F
 
+    from tidemark.builds import build_master
     from tidemark.operators.identity import spans
     from tidemark.session import get_session
     from tidemark.sources.annual import build_years, ingest, read_manifest
@@ -67,6 +71,8 @@ def _with_spark(args: argparse.Namespace, store: Store) -> int:
         _print_years(ingest(spark, store, paths))
     elif args.command == "build" and args.what == "bars":
         _print_years(build_years(spark, store, args.years or None))
+    elif args.command == "build" and args.what == "master":
+        print(json.dumps(build_master(spark, store, args.overrides), indent=1, sort_keys=True))
     elif args.command == "build":
         found = spans(store.read(spark, "curated", "bars"), ["symbol", "label"], "session")
         print(store.replace(found, "curated", "spans"))
