@@ -29,7 +29,7 @@ def change_histories(
     """
     types = [versions.schema[a].dataType for a in attributes]
     rank = F.struct(
-        F.col(valid_from).alias("from"), F.col(known_from).alias("known"), F.xxhash64(*(F.to_json(F.struct(a)) for a in attributes)).alias("tie")
+        F.col(valid_from).alias("from"), F.col(known_from).alias("known"), F.xxhash64(*(c for a in attributes for c in (F.col(a).isNull(), F.col(a)))).alias("tie")
     )
     cells = [F.struct(F.lit(i).alias("_attr"), _value(i, F.col(a), types).alias("_v")) for i, a in enumerate(attributes)]
     rows = (
